@@ -24,8 +24,6 @@ DIMENSIONS = 1024
 SYMBOLS = 128
 #: Learning takes about this many documents of each language, chosen by a hash of their ids.
 SAMPLE_PER_LANGUAGE = 1000
-#: Documents whose best cosine is lower resemble no language that was learned.
-REJECT_BELOW = 0.05
 UNDETERMINED = "und"
 _PIECE, _DOCS, _COLUMNS = 1 << 20, 256, 2048
 
@@ -158,8 +156,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a recognised language: not ``und``, and with a cosine of ``REJECT_BELOW`` or more."""
+    """The rows of ``docs`` in a recognised language: not ``und``, and with a positive cosine."""
     prototypes = learn(docs, ~held_out(id_col), text_col, lang_col, id_col)
     guess = free_name(docs, "_guess")
     found = docs.withColumn(guess, predictor(prototypes)(F.col(text_col)))
-    return found.where((F.col(guess)["lang_pred"] != UNDETERMINED) & (F.col(guess)["score"] >= REJECT_BELOW)).drop(guess)
+    return found.where((F.col(guess)["lang_pred"] != UNDETERMINED) & (F.col(guess)["score"] > 0)).drop(guess)

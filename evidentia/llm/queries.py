@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import htmltext, langid, minhash, mixing, packing, secrets, simhash
+from evidentia.llm import htmltext, langid, minhash, mixing, neighbours, packing, secrets, simhash
 from evidentia.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", htmltext.length(F.col("text")).alias("n_chars"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_with_neighbours(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

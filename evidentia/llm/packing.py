@@ -35,6 +35,11 @@ def _encoders(vocabulary: str, ranks: str) -> tuple[Tokenizer, tiktoken.Encoding
     return Tokenizer.from_file(vocabulary), tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def ordinary(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[int]:
+    """The ids of a text in which the special token's spelling is ordinary text."""
+    return _encoders(vocabulary, ranks)[1].encode_ordinary(text)
+
+
 def encode(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[int]:
     """The ids that the vocabulary file's tokenizer gives without added special tokens.
 

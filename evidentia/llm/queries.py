@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import htmltext, langid, minhash, mixing, neighbours, packing, secrets, simhash
-from evidentia.llm.shared import table
+from evidentia.llm import htmltext, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, tokencounts
+from evidentia.llm.shared import materialize, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = materialize(tokencounts.flatten(table(spark, sf_dir, "documents")), "token-files")
+    found = tokencounts.count_tokens(blocks)
+    return found.select(F.get("doc_ids", F.col("place")).alias("doc_id"), "n_tokens", "file", "start")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -56,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }

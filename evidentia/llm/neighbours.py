@@ -27,6 +27,8 @@ SAMPLE = 4096
 SHARE = 0.08
 LEAST_WINDOW = 512
 BLOCK = 1024
+#: A task of the search compares one block with about this many queries.
+ASKED = 4096
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -146,11 +148,15 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     half = min(total, max(least, int(share * total))) // 2 + 1
     low = F.greatest(F.lit(0), F.least(F.col("rank") - half, F.lit(total - 1 - 2 * half)))
     high = F.least(F.lit(total - 1), F.greatest(F.col("rank") + half, F.lit(2 * half)))
-    windows = ranked.join(asked.select("node").distinct(), "node", "left_semi").select(
+    wanted = materialize(asked.select("node").distinct(), "query-nodes")
+    # a block meets a share of all queries: it is copied, so that each copy meets a bounded part of them
+    copies = max(1, -(-wanted.count() * (2 * half + 1) // (total * ASKED)))
+    windows = ranked.join(wanted, "node", "left_semi").select(
+        F.pmod(F.xxhash64("node"), F.lit(copies)).cast("int").alias("for_copy"),
         F.col("curve").alias("on_curve"), F.col("node").alias("query"), F.col("vector").alias("sought"), F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("in_block")
     )
-    blocks = ranked.select("curve", "node", "vector", F.floor(F.col("rank") / BLOCK).alias("block"))
-    merged = blocks.groupBy("curve", "block").cogroup(windows.groupBy("on_curve", "in_block")).applyInPandas(_search(k + 1), "query long, node long, score double")
+    blocks = ranked.select("curve", "node", "vector", F.floor(F.col("rank") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    merged = blocks.groupBy("curve", "block", "copy").cogroup(windows.groupBy("on_curve", "in_block", "for_copy")).applyInPandas(_search(k + 1), "query long, node long, score double")
     best = merged.groupBy("query", "node").agg(F.min("score").alias("score"))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "node"))).where(F.col("place") <= k + 1)
     near = materialize(best.select("query", "node", "score"), "nearest-nodes")

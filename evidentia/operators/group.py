@@ -1,24 +1,16 @@
-"""Cards from detections of one batch, and the same at scale."""
+"""Cards from the detections of one batch."""
 
 from __future__ import annotations
 
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import normalise, similarity, tokens
-
 THRESHOLD = 0.85
 
 
-def detection_similarity(title_a: Column, author_a: Column, title_b: Column, author_b: Column) -> Column:
-    """By title, and by author for a quarter where both have one."""
-    title = similarity(title_a, title_b)
-    return F.when((author_a == "") | (author_b == ""), title).otherwise(title * 0.75 + similarity(author_a, author_b) * 0.25)
-
-
 def _plain(text: str) -> str:
     bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
     return " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in bare).split())
@@ -90,24 +82,3 @@ def merge_cards(cards: DataFrame, into: str = "merged_no") -> DataFrame:
     first = F.min_by(F.struct("title", "author", "confidence", "reason", "source"), "card_no").alias("c")
     lists = F.array_sort(F.collect_list(F.struct("card_no", "items")))
     return cards.groupBy("batch_id", into).agg(first, F.flatten(F.transform(lists, lambda x: x["items"])).alias("items")).select("batch_id", into, "c.*", "items")
-
-
-def similar_detections(detections: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (id_a, id_b, similarity) of detections of any batch with a title word in common and ``threshold`` or more.
-
-    Not the order-dependent grouping above: a symmetric join that scales. Detections are reduced to distinct readings, the word they share is
-    their rarest ones (three of each), and each reading is compared with the least reading of its word and with its neighbour in order.
-    """
-    keyed = detections.select("id", "title", "author", normalise(F.col("title")).alias("t"), normalise(F.col("author")).alias("a")).where("t <> ''")
-    readings = keyed.groupBy("t", "a").agg(F.min("id").alias("id"), F.min_by("title", "id").alias("title"), F.min_by("author", "id").alias("author"))
-    words = readings.select("id", "t", F.explode(F.array_distinct(tokens(F.col("title")))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    rare = F.row_number().over(Window.partitionBy("id").orderBy("n", "word"))
-    blocks = words.join(counts, "word").withColumn("r", rare).where("r <= 3").select("id", "t", "word")
-    order = Window.partitionBy("word").orderBy("t", "id")
-    near = blocks.select("id", F.explode(F.array(F.lag("id", 1).over(order), F.lag("id", 2).over(order), F.lag("id", 3).over(order))).alias("other"))
-    pairs = near.where("other is not null and other <> id").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
-    a = readings.select(F.col("id").alias("id_a"), F.col("title").alias("ta"), F.col("author").alias("aa"))
-    b = readings.select(F.col("id").alias("id_b"), F.col("title").alias("tb"), F.col("author").alias("ab"))
-    found = pairs.join(a, "id_a").join(b, "id_b").withColumn("similarity", detection_similarity(F.col("ta"), F.col("aa"), F.col("tb"), F.col("ab")))
-    return found.where(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")

@@ -365,12 +365,6 @@ def group_detections(spark: SparkSession, folder: str) -> DataFrame:
     return group.group_detections(rows)
 
 
-@query()
-def similar_detections(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.parts(spark, folder).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
-    return group.similar_detections(rows)
-
-
 # ------------------------------------------------------------------ library
 
 _BOOKS = "books AS (SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand AS author, CASE p_partkey % 3 WHEN 0 THEN 'read' WHEN 2 THEN 'unread' END AS status, o_orderdate AS date_added FROM part JOIN orders ON p_partkey = o_orderkey)"

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from evidentia.llm.shared import small_batches
+
 #: Elements of HTML by their part in the layout.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -270,6 +272,7 @@ def extract(pages: DataFrame, html_col: str = "html", text: str = "text") -> Dat
 
     Every row stays, repeated ones too; no rows give no rows. A column named as the result is replaced.
     """
+    small_batches(pages.sparkSession)
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, text)]
     return pages.select(*rest, _main_text(F.col(html_col)).alias(text))
 

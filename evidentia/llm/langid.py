@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from evidentia.llm.shared import free_name
+from evidentia.llm.shared import free_name, small_batches
 
 DIMENSIONS = 1024
 SYMBOLS = 128
 #: Learning takes about this many documents of each language, chosen by a hash of their ids.
 SAMPLE_PER_LANGUAGE = 1000
 UNDETERMINED = "und"
-_PIECE, _DOCS, _COLUMNS = 1 << 20, 256, 2048
+_PIECE, _DOCS, _COLUMNS = 1 << 19, 128, 2048
 
 
 @lru_cache(1)
@@ -95,7 +95,10 @@ def encode(texts: list[str]) -> np.ndarray:
 
 
 def _bundle(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lang": [key[0]], "vector": [encode(group["text"].tolist()).sum(axis=0)]})
+    total = np.zeros(DIMENSIONS)
+    for i in range(0, len(group), _DOCS):
+        total += encode(group["text"].iloc[i : i + _DOCS].tolist()).sum(axis=0)
+    return pd.DataFrame({"lang": [key[0]], "vector": [total]})
 
 
 def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[float]]:
@@ -122,17 +125,23 @@ def predictor(prototypes: dict[str, list[float]]):
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     shape = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
+    def judge(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        vectors = encode(texts)
+        norms = np.linalg.norm(vectors, axis=1)
+        if not names:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        cosines = vectors @ matrix.T / np.maximum(norms, 1e-9)[:, None]
+        lang = [names[b] if n else UNDETERMINED for b, n in zip(cosines.argmax(axis=1), norms > 0, strict=True)]
+        return lang, np.where(norms > 0, np.clip(cosines.max(axis=1), 0, 1), 0.0)
+
     @F.arrow_udf(shape)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            vectors = encode([x or "" for x in batch.to_pylist()])
-            norms = np.linalg.norm(vectors, axis=1)
-            lang, score = [UNDETERMINED] * len(vectors), np.zeros(len(vectors))
-            if names:
-                cosines = vectors @ matrix.T / np.maximum(norms, 1e-9)[:, None]
-                best = cosines.argmax(axis=1)
-                lang = [names[b] if n else UNDETERMINED for b, n in zip(best, norms > 0, strict=True)]
-                score = np.where(norms > 0, np.clip(cosines.max(axis=1), 0, 1), 0.0)
+            lang, score = [], np.zeros(0)
+            for i in range(0, len(batch), _DOCS):  # the vectors of few documents are held at a time
+                some, scores = judge([x or "" for x in batch.slice(i, _DOCS).to_pylist()])
+                lang += some
+                score = np.concatenate([score, scores])
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict
@@ -150,6 +159,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     texts and texts without a letter are ``und`` with score 0; so is everything where nothing could be learned.
     Ties go to the first language by name. Repeated rows stay, no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     prototypes = learn(docs, ~held_out(id_col), text_col, lang_col, id_col)
     guess = predictor(prototypes)(F.col(text_col))
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), guess.alias("guess")).select(id_col, "held_out", "guess.lang_pred", "guess.score")
@@ -157,6 +167,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in a recognised language: not ``und``, and with a positive cosine."""
+    small_batches(docs.sparkSession)
     prototypes = learn(docs, ~held_out(id_col), text_col, lang_col, id_col)
     guess = free_name(docs, "_guess")
     found = docs.withColumn(guess, predictor(prototypes)(F.col(text_col)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType
 
 from evidentia.llm.components import connected_components
-from evidentia.llm.shared import materialize
+from evidentia.llm.shared import materialize, small_batches
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -141,6 +141,7 @@ def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_c
     The texts are dealt to ranges of ids in one shuffle; the documents that begin a range are also sent to the range before.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -196,6 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similar enough form a bucket again, for so many rounds. A pair counts only if the exact Jaccard similarity of the texts' shingle
     sets is ``similarity`` or more. Null texts are empty; texts without words are one class. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.sha2("text", 256))
     texts = keyed.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(texts.select("node", _signatures("text").alias("mark"), _shingle_sets("text").alias("shingles")), "minhash")

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from evidentia.llm.shared import small_batches
+
 LENGTH = 2048
 END_ID = 1
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,15 +31,20 @@ _SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(2)
-def _encoders(vocabulary: str, ranks: str) -> tuple[Tokenizer, tiktoken.Encoding]:
+def _fast(ranks: str) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Tokenizer.from_file(vocabulary), tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+@lru_cache(2)
+def _slow(vocabulary: str) -> Tokenizer:
+    return Tokenizer.from_file(vocabulary)
 
 
-def ordinary(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[int]:
+def ordinary(text: str, ranks: str = RANKS) -> list[int]:
     """The ids of a text in which the special token's spelling is ordinary text."""
-    return _encoders(vocabulary, ranks)[1].encode_ordinary(text)
+    return _fast(ranks).encode_ordinary(text)
 
 
 def encode(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[int]:
@@ -45,10 +52,9 @@ def encode(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> list[
 
     Both libraries give the same ids; the slower one is asked only where the text spells its special token.
     """
-    slow, fast = _encoders(vocabulary, ranks)
     if _SPECIAL in text:
-        return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+        return _slow(vocabulary).encode(text, add_special_tokens=False).ids
+    return ordinary(text, ranks)
 
 
 def cuts(tokens: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -97,6 +103,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     if length & (length - 1):
         raise ValueError("the sequence length must be a power of two")
+    small_batches(docs.sparkSession)
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(_cutter(vocabulary, ranks, length, end_id, with_ids), shape)

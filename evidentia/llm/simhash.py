@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from evidentia.llm.components import connected_components
-from evidentia.llm.shared import free_name, materialize
+from evidentia.llm.shared import free_name, materialize, small_batches
 
 SEED = 42
 BITS = 64
@@ -105,6 +105,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated ids are kept, one result row per input row; null ids never are the least unless there is no
     other. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes))

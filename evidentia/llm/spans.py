@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from evidentia.llm.shared import free_name, materialize
+from evidentia.llm.shared import free_name, materialize, small_batches
 
 #: A span has this many sentences and words at least.
 SENTENCES = 2
@@ -87,6 +87,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document: a span that any of them is first with stays in all of them; rows without an id are told apart by their texts. Null texts stay
     null. No rows give no rows. A column named like an added one is replaced.
     """
+    small_batches(docs.sparkSession)
     unknown, document, spans, cleaned = (free_name(docs, x) for x in ("_unknown", "_document", "_spans", "_cleaned"))
     ids = [c.alias(n) for c, n in zip(_document(id_col, text_col), (unknown, document), strict=True)]
     runs = materialize(docs.select(*ids, _hashes(F.col(text_col)).alias(spans)), "spans").select(unknown, document, F.explode(spans).alias("h"))

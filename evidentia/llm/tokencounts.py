@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from evidentia.llm.packing import RANKS, VOCABULARY, ordinary
+from evidentia.llm.packing import RANKS, ordinary
+from evidentia.llm.shared import small_batches
 
 END_ID = 50256
 BLOCK = 1 << 16
 _DTYPES = {2: "<u2", 4: "<u4"}
 
 
-def _flat(ranks: str, vocabulary: str, end_id: int, block: int):
+def _flat(ranks: str, end_id: int, block: int):
     shape = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def _flat(ranks: str, vocabulary: str, end_id: int, block: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*ordinary(text.as_py() or "", vocabulary, ranks), end_id], "<u2")
+                ids = np.array([*ordinary(text.as_py() or "", ranks), end_id], "<u2")
                 held.append(ids)
                 ended.append(doc.as_py())
                 size += len(ids)
@@ -55,14 +56,15 @@ def _flat(ranks: str, vocabulary: str, end_id: int, block: int):
     return flat
 
 
-def flatten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ranks: str = RANKS, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+def flatten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """Token files of ``docs`` as rows (file, block, tokens, doc_ids): one file per partition, cut into blocks wherever they end.
 
     ``tokens`` are little-endian 16-bit ids; ``doc_ids``, which the scan doesn't use, names the documents that end in a block. Null texts
     are empty documents.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_flat(ranks, vocabulary, end_id, block), "file long, block long, tokens binary, doc_ids array<long>")
+    return rows.mapInArrow(_flat(ranks, end_id, block), "file long, block long, tokens binary, doc_ids array<long>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:

@@ -55,10 +55,10 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
     codes, owner = codes[keep].astype(np.int32), owner[keep]
-    codes, owner = np.pad(codes, 1), np.pad(owner, 1, mode="edge")
+    codes = np.pad(codes, 1)
     middle = codes[1:-1]
     inside = middle > 0
-    return ((codes[:-2] << 14) | (middle << 7) | codes[2:])[inside], owner[1:-1][inside]
+    return ((codes[:-2] << 14) | (middle << 7) | codes[2:])[inside], owner[inside]
 
 
 def encode(texts: list[str]) -> np.ndarray:
@@ -69,6 +69,8 @@ def encode(texts: list[str]) -> np.ndarray:
 
     def flush(batch: list[tuple[int, str]]) -> None:
         grams, owner = _trigrams([x for _, x in batch])
+        if not len(grams):
+            return
         place[grams] = 1
         used = np.flatnonzero(place)
         place[used] = np.arange(len(used))

@@ -6,7 +6,7 @@ are windows and joins on the scan and pass; a pass has at most five candidates a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from evidentia.functions.labels import rounded
@@ -17,7 +17,10 @@ from evidentia.sources.scratch import stored
 PER_ROLE = 5
 PER_SCAN = 6
 NOTHING = "No text large enough to be a title was found"
-_ALL = Window.partitionBy(*PASS)
+
+
+def _pass() -> WindowSpec:
+    return Window.partitionBy(*PASS)
 
 
 def _words(text: Column) -> Column:
@@ -33,7 +36,7 @@ def shaped(candidates: DataFrame) -> DataFrame:
 def title_scores(candidates: DataFrame, cover_max: str | None = None) -> DataFrame:
     """``shaped`` candidates with ``title_score``: size above all, then place, length and shape."""
     page = F.greatest("page_max", cover_max) if cover_max else F.col("page_max")
-    tallest = F.greatest(page, F.max("height").over(_ALL), F.lit(1.0))
+    tallest = F.greatest(page, F.max("height").over(_pass()), F.lit(1.0))
     rel = F.col("height") / tallest
     words = _words(F.col("text"))
     score = F.lit(0.0) + rel * 0.5
@@ -64,8 +67,8 @@ def ranked(scored: DataFrame) -> DataFrame:
     """With ``<role>_rank`` (score scaled to the pass's range) and ``<role>_place`` (1 for the best)."""
     for role in ("title", "author"):
         score = F.col(f"{role}_score")
-        best, worst = F.greatest(F.max(score).over(_ALL), F.lit(1e-4)), F.least(F.min(score).over(_ALL), F.lit(0.0))
-        place = F.row_number().over(_ALL.orderBy(score.desc(), "cand_no"))
+        best, worst = F.greatest(F.max(score).over(_pass()), F.lit(1e-4)), F.least(F.min(score).over(_pass()), F.lit(0.0))
+        place = F.row_number().over(_pass().orderBy(score.desc(), "cand_no"))
         scored = scored.withColumns({f"{role}_rank": (score - worst) / F.greatest(F.lit(1e-4), best - worst), f"{role}_place": place})
     return scored
 
@@ -85,7 +88,7 @@ def interpretations(candidates: DataFrame, cover_max: str | None = None) -> Data
     base = base.withColumns(
         {
             "weight": reach * F.when(F.col("name") > 0.75, 0.65).otherwise(1.0),
-            "tallest": F.greatest(F.max("height").over(_ALL), F.lit(1.0)),
+            "tallest": F.greatest(F.max("height").over(_pass()), F.lit(1.0)),
         }
     )
     base = stored(base.where(f"title_place <= {PER_ROLE} or author_place <= {PER_ROLE}"), "candidates")

@@ -37,20 +37,17 @@ def _line_sql(**values: str) -> str:
     return f"WITH {S.LINES} SELECT scan_id AS doc_id, line_no, {', '.join(f'{v} AS {k}' for k, v in values.items())} FROM lines"
 
 
-TEXT = F.col("text")
-
-
 # ------------------------------------------------------------------ text
 
 
 @query(_line_sql(normal=S.normal("text")))
 def normalise_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, normal=T.normalise(TEXT))
+    return _per_line(spark, folder, normal=T.normalise(F.col("text")))
 
 
 @query(_line_sql(n_tokens=f"len({S.words('text')})", first_token=f"({S.words('text')})[1]"))
 def token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, n_tokens=F.size(T.tokens(TEXT)).cast("long"), first_token=F.get(T.tokens(TEXT), F.lit(0)))
+    return _per_line(spark, folder, n_tokens=F.size(T.tokens(F.col("text"))).cast("long"), first_token=F.get(T.tokens(F.col("text")), F.lit(0)))
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
@@ -65,12 +62,12 @@ def similarity_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_line_sql(ratio=f"round({S.letter_ratio('text')}, 6)"))
 def letter_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, ratio=F.round(T.letter_ratio(TEXT), 6))
+    return _per_line(spark, folder, ratio=F.round(T.letter_ratio(F.col("text")), 6))
 
 
 @query(_line_sql(share=f"round({S.upper_share('text')}, 6)", mostly=f"({S.upper_share('text')}) > 0.7", letters=S.letters("text")))
 def upper_share(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, share=F.round(T.upper_share(TEXT), 6), mostly=T.is_mostly_upper(TEXT), letters=T.letter_count(TEXT).cast("long"))
+    return _per_line(spark, folder, share=F.round(T.upper_share(F.col("text")), 6), mostly=T.is_mostly_upper(F.col("text")), letters=T.letter_count(F.col("text")).cast("long"))
 
 
 @query(f"SELECT p_partkey, {S.tidy('upper(p_name)')} AS tidy, {S.tidy('p_type')} AS kept FROM part")
@@ -80,33 +77,33 @@ def tidy_title(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_line_sql(wordiness=f"round({S.wordiness('text')}, 6)"))
 def wordiness(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, wordiness=F.round(T.wordiness(TEXT), 6))
+    return _per_line(spark, folder, wordiness=F.round(T.wordiness(F.col("text")), 6))
 
 
 @query(_line_sql(clean=S.clean("text")))
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, clean=T.clean_text(TEXT))
+    return _per_line(spark, folder, clean=T.clean_text(F.col("text")))
 
 
 @query(f"WITH {S.NOISY} SELECT scan_id AS doc_id, line_no, round({S.name_shape('text')}, 6) AS name_shape, {S.has_prefix('text')} AS by_prefix, {S.without_prefix('text')} AS reads_as FROM lines")
 def name_shape(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.lines(spark, folder, noisy=True)
-    return rows.select(F.col("scan_id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.round(T.name_shape(TEXT), 6).alias("name_shape"), T.has_author_prefix(TEXT).alias("by_prefix"), T.strip_author_prefix(TEXT).alias("reads_as"))
+    return rows.select(F.col("scan_id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.round(T.name_shape(F.col("text")), 6).alias("name_shape"), T.has_author_prefix(F.col("text")).alias("by_prefix"), T.strip_author_prefix(F.col("text")).alias("reads_as"))
 
 
 @query(_line_sql(tokens=f"array_to_string({S.significant_of(S.words('text'))}, ' ')"))
 def significant_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, tokens=F.array_join(T.significant_tokens(TEXT), " "))
+    return _per_line(spark, folder, tokens=F.array_join(T.significant_tokens(F.col("text")), " "))
 
 
 @query(_line_sql(script=S.script("text"), main=S.main_title("text")))
 def main_title_and_script(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, script=T.dominant_script(TEXT), main=T.main_title(TEXT))
+    return _per_line(spark, folder, script=T.dominant_script(F.col("text")), main=T.main_title(F.col("text")))
 
 
 @query(_line_sql(query=S.sanitise("text"), dedupe=S.dedupe("text")))
 def sanitise_query(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_line(spark, folder, query=T.sanitise_query(TEXT), dedupe=T.dedupe_key(TEXT))
+    return _per_line(spark, folder, query=T.sanitise_query(F.col("text")), dedupe=T.dedupe_key(F.col("text")))
 
 
 _DOC_WORDS = f"""scans AS (SELECT doc_id AS scan_id, unnest(list_distinct({S.words('text')})) AS read FROM documents),
@@ -117,8 +114,8 @@ m AS (SELECT read, known FROM r JOIN k ON {S.token_matches('read', 'known')})"""
 
 
 def _fuzzy_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    scans = views.table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("scan_id"), T.tokens(TEXT).alias("words"))
-    items = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens(TEXT).alias("words"))
+    scans = views.table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("scan_id"), T.tokens(F.col("text")).alias("words"))
+    items = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens(F.col("text")).alias("words"))
     return scans, items
 
 
@@ -146,7 +143,7 @@ def coverage_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {S.NOISY} SELECT scan_id, line_no, {S.is_noise('text')} AS noise FROM lines")
 def noise_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return views.lines(spark, folder, noisy=True).select("scan_id", F.col("line_no").cast("long").alias("line_no"), noise.is_noise(TEXT).alias("noise"))
+    return views.lines(spark, folder, noisy=True).select("scan_id", F.col("line_no").cast("long").alias("line_no"), noise.is_noise(F.col("text")).alias("noise"))
 
 
 @query(f"WITH {S.USABLE} SELECT DISTINCT scan_id, pass_no, page_max FROM paged")

@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars.
 
-Every round is a grouped minimum and an equi-join, so a hub's edges are never gathered in one
-place; each round's edges are written to the shared scratch folder to cut lineage.
+Every round is a grouped minimum and an equi-join, both in cells of a hub's edges, so that these are never
+gathered in one place; each round's edges are written to the shared scratch folder to cut lineage.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.shared import materialize
+from evidentia.llm.shared import materialize, with_least
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """Per edge (u, v) the least of u and all its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
+    return with_least(edges, "u", "v", "m").withColumn("m", F.least("m", "u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -63,6 +63,27 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Rows of one key are spread over so many cells where they meet something of their key.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    """The cell, of ``SALTS``, of a row of a group that may be hot."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def with_least(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``rows`` with the least ``value`` of all rows of the same ``key`` as ``out``.
+
+    Rows of one key are never gathered: they are reduced, and met by the result, in cells by a hash of ``value``. Only cells
+    that hold a row get a copy of the result. Rows without a key are left out.
+    """
+    cell, cells = free_name(rows, "_cell"), free_name(rows, "_cells")
+    dealt = rows.withColumn(cell, salt(value))
+    least = dealt.groupBy(key, cell).agg(F.min(value).alias(out)).groupBy(key).agg(F.min(out).alias(out), F.collect_list(cell).alias(cells))
+    return dealt.join(least.select(key, F.explode(cells).alias(cell), out), [key, cell]).drop(cell)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from evidentia.llm.components import connected_components
-from evidentia.llm.shared import free_name, materialize, small_batches
+from evidentia.llm.shared import free_name, materialize, salt, small_batches, with_least
 
 SEED = 42
 BITS = 64
@@ -107,12 +107,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    dealt = prints.withColumn("cell", salt("id"))
+    cells = dealt.groupBy("fp", "cell").agg(F.min("id").alias("least"))
+    nodes = materialize(cells.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("cell").alias("cells")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp")))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = materialize(placed, "simhash-roots")
-    classes = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = with_least(placed, "root", "least", "component_id").select("fp", F.explode("cells").alias("cell"), "component_id")
+    return dealt.join(classes, ["fp", "cell"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
-From every sentence on, the shortest run of several consecutive sentences that has enough words is a span. Spans are hashed, joined over all
-documents, and every sentence that a span covers which is not the first of its kind is removed.
+From every sentence on, the shortest run of several consecutive sentences that has enough words is a span. A passage may also begin and end
+inside sentences, or be one: of all runs of ``WORDS`` words, those of the least hash among ``WINDOW`` that follow each other are spans too. Which
+these are is told by the words alone, so equal runs of WORDS + WINDOW - 1 words share one wherever they stand. Spans are hashed, joined over all
+documents, and what a span covers which is not the first of its kind is removed.
 """
 
 from __future__ import annotations
@@ -16,11 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from evidentia.llm.minhash import _mixed, _powers
 from evidentia.llm.shared import free_name, materialize, small_batches
 
 #: A span has this many sentences and words at least.
 SENTENCES = 2
 WORDS = 20
+#: Of so many runs of words in a row one is a span at least. It is below ``WORDS``, so that spans leave no gap inside a passage.
+WINDOW = 12
+_BLOCK = 1 << 20
+_WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 
 
@@ -47,11 +54,55 @@ def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -
     return found
 
 
+def _lowered(text: str) -> str:
+    """Lower case of as many code points."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word, whatever its case, and where it begins; long texts go block by block, cut at white space."""
+    points = np.frombuffer(_lowered(text).encode("utf-32-le", "surrogatepass"), "<u4")
+    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(points):
+        end = min(len(points), at + _BLOCK)
+        while end < len(points) and not chr(points[end]).isspace():
+            end += 1
+        block = points[at:end]
+        inside = np.concatenate([[False], ~_WHITE[np.minimum(block, len(_WHITE) - 1)], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        powers, inverse = _powers(1 << max(12, len(block).bit_length()))
+        run = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * powers[: len(block)], out=run[1:])
+        hashes.append(_mixed((run[ends] - run[starts]) * inverse[starts]))
+        begins.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begins)
+
+
+def run_hashes(text: str, words: int = WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end (of the white space after it) of the chosen runs of ``words`` words, in order; they may overlap."""
+    hashes, begins = _words(text)
+    n = len(hashes) - words + 1
+    if n < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = np.zeros(n, np.uint64)
+    for k in range(words):
+        runs = runs * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
+    runs = _mixed(runs)
+    least = np.lib.stride_tricks.sliding_window_view(runs, window).min(axis=1)
+    # a run is chosen if it is the least of any of the windows that hold it, ties too
+    most = np.lib.stride_tricks.sliding_window_view(np.pad(least, window - 1), window).max(axis=1)
+    chosen = np.flatnonzero(most == runs)
+    return runs[chosen].view(np.int64), begins[chosen], np.append(begins, len(text))[chosen + words]
+
+
 @F.arrow_udf(ArrayType(LongType()))
 def _hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text's distinct span hashes."""
     for batch in texts:
-        rows = [np.unique(np.array([h for h, _, _ in span_hashes(sentences(x or ""))], np.int64)) for x in batch.to_pylist()]
+        rows = [np.unique(np.concatenate([np.array([h for h, _, _ in span_hashes(sentences(x or ""))], np.int64), run_hashes(x or "")[0]])) for x in batch.to_pylist()]
         yield pa.array(rows, pa.list_(pa.int64()))
 
 
@@ -60,18 +111,23 @@ _CLEANED = StructType([StructField("text", StringType()), StructField("sentences
 
 @F.arrow_udf(_CLEANED)
 def _without(texts: pa.Array, repeated: pa.Array) -> pa.Array:
-    """Texts without the sentences of repeated spans, and of spans that stood in the same text before."""
+    """Texts without what repeated spans cover, and spans that stood in the same text before; a sentence that lost a word counts as removed."""
     cleaned, counts, removed = [], [], []
     for text, hashes in zip(texts.to_pylist(), repeated.to_pylist(), strict=True):
         pieces = sentences(text or "")
-        known, gone = set(hashes or ()), [False] * len(pieces)
-        for h, start, end in span_hashes(pieces):
-            if h in known:
-                gone[start:end] = [True] * (end - start)
-            known.add(h)
-        cleaned.append("".join(x for x, g in zip(pieces, gone, strict=True) if not g) if any(gone) else text)
+        cuts = np.cumsum([0, *map(len, pieces)])
+        known, gone = set(hashes or ()), np.zeros(len(text or "") + 1, np.int32)
+        seen = set()
+        for h, start, end in [*((h, cuts[a], cuts[b]) for h, a, b in span_hashes(pieces)), *zip(*(x.tolist() for x in run_hashes(text or "")), strict=True)]:
+            if h in known or h in seen:
+                gone[start] += 1
+                gone[end] -= 1
+            seen.add(h)
+        lost = np.cumsum(gone[:-1]) > 0
+        edges = np.flatnonzero(np.diff(lost, prepend=True, append=True)).tolist()
+        cleaned.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if lost.any() else text)
         counts.append(len(pieces))
-        removed.append(sum(gone))
+        removed.append(int(np.count_nonzero(np.logical_or.reduceat(lost, cuts[:-1]))) if pieces else 0)
     return pa.StructArray.from_arrays([pa.array(cleaned, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["text", "sentences", "removed"])
 
 
@@ -81,7 +137,7 @@ def _document(id_col: str, text_col: str) -> list[Column]:
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text cleaned, and ``n_sentences`` and ``n_removed``, sentences before and those removed of them.
+    """``docs`` with the text cleaned, and ``n_sentences`` and ``n_removed``, sentences before and those of them that are removed or lost words.
 
     The first of equal spans is the one of the least id, documents without one coming last, and the earliest there. Rows of one id are one
     document: a span that any of them is first with stays in all of them; rows without an id are told apart by their texts. Null texts stay

@@ -283,6 +283,36 @@ def test_spans_remove_repeats_only(spark, odd):
     assert {r.text for r in cleaned.where("doc_id = 2").collect()} == {None}
 
 
+def test_spans_of_passages_that_begin_and_end_inside_sentences(spark):
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+    rows, passages = [], []
+    for i in range(40):
+        passage = words(51)
+        if i % 2:  # a break inside, but no whole sentence
+            passage[20 + i % 10] += "."
+        passages.append(passage)
+        for k in (0, 100):
+            # mid-word at both ends, other sentences around
+            rows.append((i + k, f"{' '.join(words(9))}. {' '.join(words(3 + i % 7))} x{k}{' '.join(passage)}{k}y {' '.join(words(4))}. {' '.join(words(30))}", "en", "a", 1))
+    whole = words(70)
+    rows += [(300, f"Ein Anfang. \u0130 {' '.join(whole)} \U0001f600", "de", "a", 1), (301, f"Anders. \U0001f600 {' '.join(whole).upper()}", "de", "a", 1)]
+    found = {r.doc_id: r for r in spans.remove_repeated_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for i, passage in enumerate(passages):
+        assert found[i].text == texts[i] and found[i].n_removed == 0
+        left = found[i + 100].text
+        own = set(left.split())
+        assert not any(w in own for w in passage[13:-13]) and found[i + 100].n_removed > 0
+        before, after = texts[i + 100].split(" x100")[0], texts[i + 100].split("100y ")[1]
+        assert left.startswith(before) and left.endswith(after)
+    assert found[300].text == texts[300]
+    assert found[301].text.startswith("Anders. ") and len(found[301].text.split()) <= 2 + 22
+
+
 def test_token_counts_against_tokenizer(spark, docs):
     blocks = tokencounts.flatten(docs, block=512).cache()
     found = tokencounts.count_tokens(blocks).withColumn("doc_id", F.get("doc_ids", F.col("place")))

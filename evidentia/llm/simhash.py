@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -97,6 +97,15 @@ def links(fingerprints: DataFrame) -> DataFrame:
     )
 
 
+def _placed(prints: DataFrame) -> DataFrame:
+    """(fp, root, least, cells) of ``prints`` (id, fp, cell): the group's least fingerprint, the print's least id and the cells its rows are in."""
+    cells = prints.groupBy("fp", "cell").agg(F.min("id").alias("least"))
+    nodes = materialize(cells.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("cell").alias("cells")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp")))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(placed, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, fp, component_id) per row of ``docs``; component_id is the least id reachable by links.
 
@@ -108,30 +117,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
     dealt = prints.withColumn("cell", salt("id"))
-    cells = dealt.groupBy("fp", "cell").agg(F.min("id").alias("least"))
-    nodes = materialize(cells.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("cell").alias("cells")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "simhash-roots")
-    classes = with_least(placed, "root", "least", "component_id").select("fp", F.explode("cells").alias("cell"), "component_id")
+    classes = with_least(_placed(dealt), "root", "least", "component_id").select("fp", F.explode("cells").alias("cell"), "component_id")
     return dealt.join(classes, ["fp", "cell"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one of the least id.
 
-    Rows that repeat the least id of a group are one document and only one of them stays; of texts that
-    differ under one id the least stays. Rows without an id stay only in groups where no row has one.
-    All columns are kept, whatever their names.
+    Of texts that differ under the least id of a group that of the least fingerprint stays, then that of the least
+    digest, null texts first. An id may stay with several groups, one text of it for each. A row without an id stays
+    only in a group where no row has one. Of rows of the same id and text any one stays. All columns are kept, whatever
+    their names.
     """
-    keep, tie = free_name(docs, "_keep"), free_name(docs, "_tie")
-    kept = (
-        near_duplicates(docs, id_col, text_col)
-        .where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .select(F.col(id_col).alias(keep), F.col("fp").alias(tie))
-        .distinct()
-    )
-    one = kept.groupBy(keep).agg(F.min(tie).alias(tie))
-    joined = docs.join(one, docs[id_col].eqNullSafe(one[keep]), "inner")
-    order = Window.partitionBy(keep).orderBy(F.col(text_col))
-    return joined.withColumn(tie, F.row_number().over(order)).where(F.col(tie) == 1).drop(keep, tie)
+    small_batches(docs.sparkSession)
+    print_, digest, row = (free_name(docs, x) for x in ("_fp", "_digest", "_row"))
+    # the row's number is written beside the print: it is never computed again
+    marked = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(print_, simhash(F.col(text_col)))
+    marked = materialize(marked.withColumn(digest, F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))), "simhash-marked")
+    dealt = marked.select(F.col(id_col).alias("id"), F.col(print_).alias("fp"), F.col(digest).alias("digest"), F.col(row).alias("row")).withColumn("cell", salt("row"))
+    # one candidate per group: reduced in cells of a print first, so that copies are never gathered
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("fp").alias("fp"), F.col("digest").alias("digest"), F.col("row").alias("row"))
+    best = dealt.withColumn("best", order).groupBy("fp", "cell").agg(F.min("best").alias("best")).groupBy("fp").agg(F.min("best").alias("best"))
+    roots = _placed(dealt).select("fp", "root")
+    one = best.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = one.select(F.col("best.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

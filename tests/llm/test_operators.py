@@ -106,6 +106,16 @@ def test_simhash_links_are_exact(spark):
     assert {tuple(r) for r in found} == expected
 
 
+def test_one_document_of_each_group_stays_whatever_its_id(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(80)) for _ in range(6)]
+    ids = [(None, 0), (None, 0), (None, 1), (None, 2), (9, 2), (5, 3), (7, 3), (5, 4), (8, 4), (5, 4), (3, 5)]
+    docs = spark.createDataFrame([(i, texts[t], "en", "a", t) for i, t in ids], DOCS)
+    found = [(r.doc_id, r.text) for r in simhash.deduplicate(docs).collect()]
+    expected = [(None, 0), (None, 1), (9, 2), (5, 3), (5, 4), (3, 5)]
+    assert sorted(found, key=repr) == sorted(((i, texts[t]) for i, t in expected), key=repr)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (None, 3), (100, 101), (101, 100)], "u long, v long")
     assert {r.node: r.root for r in components.connected_components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}

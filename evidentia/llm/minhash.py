@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType
 
@@ -19,6 +19,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 16
 SIMILARITY = 0.8
+#: A bucket's texts are compared with so many of them at once.
+LEADERS = 32
 _BLOCK, _ROWS = 1 << 20, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -190,12 +192,18 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(found, pa.float64())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = 4) -> DataFrame:
+def _pairs(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """(id, class_id) per row: class_id is the least id reachable by verified pairs.
 
-    Rows of equal texts are one node. In every band of the signatures each bucket compares its texts with its least one; those not
-    similar enough form a bucket again, for so many rounds. A pair counts only if the exact Jaccard similarity of the texts' shingle
-    sets is ``similarity`` or more. Null texts are empty; texts without words are one class. No rows give no rows.
+    Rows of equal texts are one node. A pair counts if two texts share a bucket in a band of the signatures and the exact Jaccard
+    similarity of their shingle sets is ``similarity`` or more. A bucket compares its texts with its ``leaders`` least ones. Those
+    similar to a leader leave with it; as 1 less the similarity is a metric, they can only be similar to texts whose similarity
+    to that leader is 2 * similarity - 1 or more, and are compared with these. What is left is a bucket again, until none is.
+    Null texts are empty; texts without words are one class. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.sha2("text", 256))
@@ -204,19 +212,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = PERMUTATIONS // BANDS
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("mark", b * width + 1, width).alias("value")) for b in range(BANDS)]))
     left = materialize(sets.select("node", bands.alias("b")).select("node", "b.band", "b.value"), "minhash-bands")
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", _jaccard("x", "y").alias("jaccard")), "minhash-pairs")
+
+    bucket, enough = ["band", "value"], F.col("jaccard") >= similarity
     edges = None
-    for _ in range(rounds):
-        led = left.join(left.groupBy("band", "value").agg(F.min("node").alias("lead")), ["band", "value"])
-        pairs = led.where("node > lead").select("node", "lead").distinct()
-        a = sets.select(F.col("node"), F.col("shingles").alias("x"))
-        b = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("y"))
-        judged = materialize(pairs.join(a, "node").join(b, "lead").select("node", "lead", _jaccard("x", "y").alias("jaccard")), "minhash-pairs")
-        found = judged.where(F.col("jaccard") >= similarity).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    while edges is None or not left.isEmpty():
+        order = F.row_number().over(Window.partitionBy(*bucket).orderBy("node"))
+        led = left.withColumn("order", order).where(F.col("order") <= leaders).select(*bucket, F.col("node").alias("lead"))
+        met = left.join(led, bucket).where("node != lead").select("node", "lead", *bucket, *_pairs("node", "lead"))
+        judged = judge(met.select("u", "v").distinct())
+        met = materialize(met.join(judged, ["u", "v"]).select("node", "lead", *bucket, "jaccard"), "minhash-met")
+        taken = met.where(enough).groupBy("node", *bucket).agg(F.min("lead").alias("lead"))
+        near = met.where(~enough & (F.col("jaccard") >= 2 * similarity - 1 - 1e-9)).select(F.col("node").alias("mate"), "lead", *bucket)
+        chained = taken.join(near, [*bucket, "lead"]).where("node != mate").select(*_pairs("node", "mate")).distinct()
+        chained = judge(chained.join(judged, ["u", "v"], "left_anti"))
+        found = judged.unionAll(chained).where(enough).select("u", "v")
         edges = found if edges is None else edges.unionAll(found)
-        refused = led.where("node > lead").join(judged.where(F.col("jaccard") < similarity), ["node", "lead"], "left_semi")
-        left = materialize(refused.select("node", "band", "value"), "minhash-bands")
-        if left.isEmpty():
-            break
+        gone = taken.select("node", *bucket).unionAll(led.select(F.col("lead").alias("node"), *bucket))
+        left = materialize(met.select("node", *bucket).distinct().join(gone, ["node", *bucket], "left_anti"), "minhash-bands")
     roots = connected_components(edges)
     members = keyed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = members.groupBy("root").agg(F.min("id").alias("class_id"))

@@ -228,6 +228,47 @@ def test_minhash_classes(spark, odd):
     assert classes[5] == 5
 
 
+def test_minhash_pairs_of_chains_and_full_buckets_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+
+    def words(n):
+        return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+    texts = []
+    for _ in range(5):  # each like the next, not like the one after it
+        long = words(420)
+        texts += [" ".join(long[i * 20 : i * 20 + 220]) for i in range(10)]
+    shared = words(160)
+    for _ in range(30):  # unlike each other, but of many common shingles; each has a near copy
+        own = words(40)
+        texts += [" ".join(shared + own), " ".join(words(12) + shared[12:] + own)]
+    marks = [minhash.signature(t)[:4] for t in texts]
+    # a single band of four bytes: no other bucket makes good for what one leaves out
+    monkeypatch.setattr(minhash, "PERMUTATIONS", 4)
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    least = list(range(len(texts)))
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    width, buckets = minhash.PERMUTATIONS // minhash.BANDS, defaultdict(set)
+    for i, mark in enumerate(marks):
+        for b in range(minhash.BANDS):
+            buckets[b, mark[b * width : (b + 1) * width].tobytes()].add(i)
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (mark.reshape(-1, width) == marks[j].reshape(-1, width)).all(axis=1).any():
+                x, y = sorted((find(i), find(j)))
+                least[y] = x
+    assert max(map(len, buckets.values())) > 4
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    for more in ({}, {"leaders": 3}):
+        found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, **more).collect()}
+        assert found == {i: find(i) for i in range(len(texts))}
+
+
 def test_neighbours_recall_and_scores(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(3000, 16))

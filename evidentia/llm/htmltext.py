@@ -1,8 +1,9 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
-A page becomes a row of text blocks. A linear classifier turns a block's markup, links and length into the costs of calling it
-content or boilerplate: its capacities from and to the terminals. Neighbouring blocks are joined by edges whose capacity falls with
-their distance in the document tree. The minimum cut, by maximum flow, is the labelling of least total cost.
+A page becomes a row of text blocks. A linear classifier turns a block's length, links, punctuation and markup into the costs of calling
+it content or boilerplate: its capacities from and to the terminals. Edges join blocks that follow each other, weaker the farther apart
+they are in the document tree, and blocks of one container to the next ones of the same container, whatever stands between. The minimum cut, by
+maximum flow, is the labelling of least total cost: what one block says of itself gives way to what stands around it.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
-from math import exp, log1p
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ SKIPPED = frozenset("script style noscript template title iframe object svg math
 RAW = frozenset("script style noscript template title iframe textarea noframes noembed xmp".split())
 CLOSES_P = BLOCKS - frozenset("button option optgroup legend caption tr td th tbody thead tfoot".split())
 BOILERPLATE = frozenset("nav footer aside form menu button select dialog search fieldset".split())
-MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 #: Words in class, id and role that speak for and against content.
 AGAINST = frozenset(
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright disqus disclaimer dialog footer "
@@ -40,10 +42,15 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article articlebody body content entry main maincontent post prose story text".split())
 
-#: The classifier's weights.
-WEIGHTS = {"bias": -0.5, "words": 1.5, "links": -3.0, "stop": 0.8, "heading": 1.0, "for": 3.0, "main": 4.0, "against": -6.0}
-FULL_WORDS = 20
-SMOOTHNESS = 0.8
+#: The classifier's weights. A few words say little either way and follow their neighbours; length counts by its logarithm, up to ``FULL_WORDS``.
+WEIGHTS = {"bias": -1.2, "words": 1.0, "links": -3.0, "stop": 0.8, "heading": 0.8, "for": 0.4, "main": 0.8, "against": -5.0}
+FULL_WORDS = 60
+#: Capacity between blocks that follow each other, at no distance, and between blocks of one container.
+ADJACENCY, PROXIMITY = 1.0, 1.0
+#: So many earlier blocks of its container a block is joined to, the farther the weaker.
+SIBLINGS = 2
+#: What an element says against the text in it counts in full up to this share of the page's prose, and not at all from the second on.
+FADES = (0.5, 0.9)
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -52,116 +59,185 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_NONE, _FOR, _MAIN, _AGAINST = "", "for", "main", "against"
-
-
-def _hint(tag: str, attributes: str, inside: str) -> str:
-    """What an element says of the text below it, given what those above it say."""
-    if inside == _AGAINST or tag in BOILERPLATE or (tag == "header" and inside != _MAIN):
-        return _AGAINST
-    if attributes and tag not in ("body", "html"):
-        if _HIDDEN.search(attributes):
-            return _AGAINST
-        names = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
-        speaks_for, against = bool(names & FOR), bool(names & AGAINST)
-        if against and not speaks_for and tag not in MAIN:
-            return _AGAINST
-        if speaks_for and not against and inside == _NONE and tag not in MAIN:
-            return _FOR
-    return _MAIN if tag in MAIN else inside
 
 
 class Block:
-    """A run of text between block boundaries, with the path of elements above it."""
+    """A run of text between block boundaries: its element, what the elements above it say of it, and whether it is in a heading."""
 
-    __slots__ = ("heading", "hint", "linked", "path", "text")
+    __slots__ = ("against", "element", "heading", "hint", "linked", "text", "words")
 
-    def __init__(self, parts: list[tuple[str, bool]], path: tuple[int, ...], hint: str, heading: bool) -> None:
+    def __init__(self, parts: list[tuple[str, bool]], element: int, hint: str, against: int, heading: bool) -> None:
         self.text = " ".join("".join(x for x, _ in parts).split())
-        whole = sum(len(x) for x, _ in parts)
-        self.linked = sum(len(x) for x, link in parts if link) / whole if whole else 0.0
-        self.path, self.hint, self.heading = path, hint, heading
-
-
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page, in page order; malformed markup never fails."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, str]] = [("", 0, _NONE)]  # tag, number, hint
-    parts: list[tuple[str, bool]] = []
-    number = links = at = 0
-
-    def close() -> None:
-        if parts:
-            if any(not x.isspace() for x, _ in parts):
-                path = tuple(n for tag, n, _ in stack if tag in BLOCKS)
-                found.append(Block(parts, path, stack[-1][2], any(tag in ("h1", "h2", "h3") for tag, _, _ in stack)))
-            parts.clear()
-
-    def pop_to(depth: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _, _ in stack[depth:])
-        del stack[depth:]
-
-    def last(*tags: str, until: str = "") -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] == until:
+        self.words = self.text.count(" ") + 1
+        linked = sum([len(x) for x, link in parts if link])
+        self.linked = linked / sum([len(x) for x, _ in parts]) if linked else 0.0
+        self.element, self.hint, self.against, self.heading = element, hint, against, heading
+
+
+def _says(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
+    """What an element says for the text in it ("main", "for" or nothing), and whether it speaks against it."""
+    if tag in BOILERPLATE or (tag == "header" and not in_main):
+        return "", True
+    against = speaks_for = False
+    if attributes and tag not in ("body", "html"):
+        if _HIDDEN.search(attributes):
+            return "", True
+        names = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
+        speaks_for, against = bool(names & FOR), bool(names & AGAINST)
+    if tag == "main":
+        return "main", False
+    if against and not speaks_for:
+        return "", True
+    return ("main" if tag == "article" else "for" if speaks_for else ""), False
+
+
+class Page:
+    """The text blocks of a page, in page order, and the parent and depth of every element; malformed markup never fails."""
+
+    def __init__(self, html: str) -> None:
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
+        #: Tag, element, hint, innermost element that speaks against, innermost block element, whether in a heading.
+        self._stack: list[tuple[str, int, str, int, int, bool]] = [("", 0, "", 0, 0, False)]
+        self._open: dict[str, list[int]] = {}  # places in the stack by tag
+        self._parts: list[tuple[str, bool]] = []
+        self._parse(html)
+        self._close()
+
+    def _last(self, *tags: str) -> int:
+        found = 0
+        for tag in tags:
+            if (places := self._open.get(tag)) and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def _pop_to(self, place: int) -> None:
+        for tag, *_ in self._stack[place:]:
+            self._open[tag].pop()
+        del self._stack[place:]
+
+    def _push(self, tag: str, attributes: str) -> None:
+        _, above, hint, against, block, heading = self._stack[-1]
+        number = len(self.parent)
+        self.parent.append(above)
+        self.depth.append(self.depth[above] + 1)
+        own, opposed = _says(tag, attributes, hint == "main")
+        if tag == "main":
+            against = 0
+        elif opposed:
+            against, hint = number, ""
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, number, own or hint, against, number if tag in BLOCKS else block, heading or tag in HEADINGS))
+
+    def _close(self) -> None:
+        """End the block that is being read."""
+        if not self._parts:
+            return
+        if not all([x.isspace() for x, _ in self._parts]):
+            _, _, hint, against, element, heading = self._stack[-1]
+            self.blocks.append(Block(self._parts, element, hint, against, heading))
+        self._parts.clear()
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            self._close()
+            if tag in CLOSES_P and (place := self._last("p")) > self._last("button"):
+                self._pop_to(place)
+            if tag == "li" and (place := self._last("li")) > self._last("ul", "ol", "menu"):
+                self._pop_to(place)
+            if tag in ("dt", "dd") and (place := self._last("dt", "dd")) > self._last("dl"):
+                self._pop_to(place)
+            if tag in ("td", "th", "tr") and (place := self._last(*(("td", "th") if tag != "tr" else ("tr",)))) > self._last("table"):
+                self._pop_to(place)
+        elif tag == "a" and (place := self._last("a")):
+            self._pop_to(place)
+        if tag not in VOID:
+            self._push(tag, attributes)
+
+    def _parse(self, html: str) -> None:
+        at, size, parts = 0, len(html), self._parts
+        while at < size:
+            m = _TOKEN.search(html, at)
+            upto = m.start() if m else size
+            if upto > at:
+                parts.append((unescape(html[at:upto]), bool(self._open.get("a"))))
+            if not m:
                 break
-        return 0
-
-    size = len(html)
-    while at < size:
-        m = _TOKEN.search(html, at)
-        upto = m.start() if m else size
-        if upto > at:
-            parts.append((unescape(html[at:upto]), links > 0))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                parts.append((m[0][9:].removesuffix("]]>"), links > 0))
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag in SKIPPED and not closing:
-            if not attributes.rstrip().endswith("/") or tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(html, at)
-                at = end.end() if end else (size if tag != "head" else at)
-            continue
-        if tag == "br":
-            parts.append((" ", False))
-        elif closing:
-            if tag in BLOCKS:
-                close()
-            if depth := last(tag):
-                pop_to(depth)
-        else:
-            if tag in BLOCKS:
-                close()
-                if tag in CLOSES_P and (depth := last("p", until="button")):
-                    pop_to(depth)
-                if tag == "li" and (depth := max(last("li"), 0)) > max(last("ul", "ol", "menu"), 0):
-                    pop_to(depth)
-                if tag in ("dt", "dd") and (depth := last("dt", "dd")) > last("dl"):
-                    pop_to(depth)
-                if tag in ("td", "th", "tr") and (depth := last(*(("td", "th") if tag != "tr" else ("tr",)))) > last("table"):
-                    pop_to(depth)
-            elif tag == "a" and (depth := last("a")):
-                pop_to(depth)
-            if tag not in VOID:
-                number += 1
-                links += tag == "a"
-                stack.append((tag, number, _hint(tag, attributes, stack[-1][2])))
-    close()
-    return found
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                if m[0].startswith("<![CDATA["):
+                    parts.append((m[0][9:].removesuffix("]]>"), bool(self._open.get("a"))))
+                continue
+            closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+            if tag in SKIPPED and not closing:
+                if not attributes.rstrip().endswith("/") or tag in RAW:
+                    end = _end_of(tag).search(html, at)
+                    at = end.end() if end else (size if tag != "head" else at)
+            elif tag == "br":
+                parts.append((" ", False))
+            elif not closing:
+                self._start(tag, attributes)
+            else:
+                if tag in BLOCKS:
+                    self._close()
+                if place := self._last(tag):
+                    self._pop_to(place)
+
+    def apart(self, a: int, b: int) -> int:
+        """Steps in the tree between two elements. Over neighbours in page order all steps together are twice the elements at most."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.parent[a], steps + 1
+        return steps
+
+    def gains(self) -> list[float]:
+        """By block its log-odds of being content: the costs of the two labels, less what they have in common."""
+        speak = {b.against for b in self.blocks} - {0}
+        nearest = [0] * len(self.parent)  # by element the innermost that speaks against the text in it; parents come first
+        inside = dict.fromkeys(speak, 0.0)
+        for element in range(1, len(self.parent)):
+            nearest[element] = element if element in speak else nearest[self.parent[element]]
+        prose = 0.0
+        for block in self.blocks:
+            prose += block.words * (1 - block.linked)
+            if block.against:
+                inside[block.against] += block.words * (1 - block.linked)
+        for element in sorted(speak, reverse=True):  # what is inside an inner one is inside the outer one
+            if outer := nearest[self.parent[element]]:
+                inside[outer] += inside[element]
+        low, high = FADES
+        fade = {e: min(1.0, max(0.0, (high - w / prose) / (high - low))) if prose else 1.0 for e, w in inside.items()}
+        return [score(b) + (WEIGHTS["against"] * fade[b.against] if b.against else 0.0) for b in self.blocks]
+
+    def edges(self) -> list[tuple[int, int, float]]:
+        """The smoothness between blocks: of neighbours, by the square of their distance in the tree, and of a
+        container's blocks to the last ones before; linear in number."""
+        found: list[tuple[int, int, float]] = []
+        before: dict[int, list[int]] = {}
+        for i, block in enumerate(self.blocks):
+            if i:
+                found.append((i - 1, i, ADJACENCY / (1 + self.apart(self.blocks[i - 1].element, block.element) / 2) ** 2))
+            for container in {block.element, self.parent[block.element]}:
+                if container:
+                    last = before.setdefault(container, [])
+                    found += [(j, i, PROXIMITY / far) for far, j in enumerate(reversed(last), 1)]
+                    last.append(i)
+                    del last[:-SIBLINGS]
+        return found
+
+
+@lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I)
 
 
 def score(block: Block) -> float:
-    """Log-odds that a block is content."""
-    total = WEIGHTS["bias"] + WEIGHTS["words"] * min(1.0, (block.text.count(" ") + 1) / FULL_WORDS)
-    total += WEIGHTS["links"] * block.linked * (block.hint != _MAIN)
+    """Log-odds that a block is content by itself, what elements above it say against it left out."""
+    total = WEIGHTS["bias"] + WEIGHTS["words"] * log2(1 + min(FULL_WORDS, block.words) / 4)
+    total += WEIGHTS["links"] * block.linked / (3 if block.hint == "main" else 1)
     if block.text[-1] in ".!?…:;\"'”»":
         total += WEIGHTS["stop"]
     if block.heading:
@@ -169,13 +245,52 @@ def score(block: Block) -> float:
     return total + (WEIGHTS[block.hint] if block.hint else 0.0)
 
 
-def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def settled(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool | None]:
+    """By node its label, where its own gain, with its settled neighbours, outweighs all its edges to the others; else none.
+
+    Such a label belongs to a minimum cut whatever the others turn out to be, so only the rest needs a flow.
+    """
+    near: list[list[int]] = [[] for _ in gain]
+    own, loose = list(gain), [0.0] * len(gain)
+    for k, (a, b, capacity) in enumerate(edges):
+        near[a].append(k)
+        near[b].append(k)
+        loose[a] += capacity
+        loose[b] += capacity
+    label: list[bool | None] = [None] * len(gain)
+    waiting = list(range(len(gain)))
+    while waiting:
+        i = waiting.pop()
+        if label[i] is not None or abs(own[i]) < loose[i] or own[i] == 0:
+            continue
+        label[i] = keep = own[i] > 0
+        for k in near[i]:
+            a, b, capacity = edges[k]
+            j = b if a == i else a
+            if label[j] is None:
+                own[j] += capacity if keep else -capacity
+                loose[j] -= capacity
+                if abs(own[j]) >= loose[j]:
+                    waiting.append(j)
+    return label
+
+
+def label_blocks(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """A least-cost labelling: what is settled at once, and the minimum cut of the rest with its settled neighbours in its gains."""
+    label = settled(gain, edges)
+    rest = [i for i, x in enumerate(label) if x is None]
+    if rest:
+        place, own = {i: k for k, i in enumerate(rest)}, [gain[i] for i in rest]
+        inner = []
+        for a, b, capacity in edges:
+            if a in place and b in place:
+                inner.append((place[a], place[b], capacity))
+            elif a in place or b in place:
+                known, other = (label[b], a) if a in place else (label[a], b)
+                own[place[other]] += capacity if known else -capacity
+        for i, keep in zip(rest, minimum_cut(own, inner), strict=True):
+            label[i] = keep
+    return label
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -241,24 +356,11 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def _softplus(x: float) -> float:
-    return x + log1p(exp(-x)) if x > 0 else log1p(exp(x))
-
-
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by newlines; empty if there are none or no page."""
-    found = blocks(html or "")
-    if not found:
-        return ""
-    # the cost of calling a block boilerplate, less that of calling it content
-    gain = [_softplus(s) - _softplus(-s) for s in map(score, found)]
-    edges = []
-    for i in range(len(found) - 1):
-        a, b = found[i].path, found[i + 1].path
-        apart = len(a) + len(b) - 2 * _shared(a, b)
-        edges.append((i, i + 1, SMOOTHNESS / (1 + apart / 2)))
-    keep = minimum_cut(gain, edges)
-    return "\n".join(block.text for block, k in zip(found, keep, strict=True) if k)
+    page = Page(html or "")
+    keep = label_blocks(page.gains(), page.edges())
+    return "\n".join(block.text for block, k in zip(page.blocks, keep, strict=True) if k)
 
 
 @F.arrow_udf(StringType())
@@ -273,7 +375,7 @@ def extract(pages: DataFrame, html_col: str = "html", text: str = "text") -> Dat
     Every row stays, repeated ones too; no rows give no rows. A column named as the result is replaced.
     """
     small_batches(pages.sparkSession)
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, text)]
+    rest = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in (html_col.lower(), text.lower())]
     return pages.select(*rest, _main_text(F.col(html_col)).alias(text))
 
 

@@ -74,5 +74,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+#: The sources' targets, the bisection of their multipliers and the rounding by level and cell, in one statement.
+_MIX = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(chr(1), coalesce(doc_id::VARCHAR, '-'), coalesce(text, ''))), 1, 15))::BIGINT AS draw FROM documents
+), s AS (
+  SELECT *, greatest(0, length(bin(size)) - 9) AS power FROM d
+), sized AS (
+  SELECT doc_id, source, size, draw, power * 512 + (size >> power) AS level FROM s
+), levels AS (
+  SELECT source, level, count(*) AS n, sum(size)::BIGINT AS words, sum(size)::DOUBLE / count(*) AS mean FROM sized GROUP BY ALL
+), totals AS (
+  SELECT source, sum(words)::BIGINT AS source_size, coalesce(sum(words * mean) / nullif(sum(words), 0), 1.0::DOUBLE) AS scale FROM levels GROUP BY 1
+), ranked AS (
+  SELECT *, 2 * source_size AS most, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM totals
+), filled AS (
+  SELECT *, row_number() OVER w AS place, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water
+  FROM ranked WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)
+), sources AS (
+  SELECT source, source_size, scale, CASE WHEN water * weight >= most THEN most::DOUBLE ELSE coalesce((SELECT arg_min(water, place) FROM filled WHERE water * weight < most), 0) * weight END AS target FROM filled
+), tilts AS (
+  SELECT s.source, list(mean / scale) AS x, list(words) AS words FROM levels l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source GROUP BY 1
+), steps AS (
+  SELECT s.source, 0 AS round, -1000.0::DOUBLE AS low, 1000.0::DOUBLE AS high, target, x, words FROM sources s JOIN tilts t ON s.source IS NOT DISTINCT FROM t.source WHERE target > 0 AND target < 2 * source_size
+  UNION ALL
+  SELECT source, round + 1, CASE WHEN got < target THEN (low + high) / 2 ELSE low END, CASE WHEN got < target THEN high ELSE (low + high) / 2 END, target, x, words
+  FROM (SELECT *, list_sum(list_transform(list_zip(x, words), lambda p: p[2] * least(2.0::DOUBLE, exp(least(700.0::DOUBLE, (low + high) / 2 * p[1]))))) AS got FROM steps WHERE round < 80)
+), solved AS (
+  SELECT source, (low + high) / 2 AS multiplier FROM steps WHERE round = 80
+), rated AS (
+  SELECT l.source, level, n, mean, source_size, target, round(1000000 * CASE WHEN target <= 0 THEN 0.0::DOUBLE WHEN target >= 2 * source_size THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, exp(least(700.0::DOUBLE, multiplier * (mean / scale)))) END)::BIGINT AS parts
+  FROM levels l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN solved m ON l.source IS NOT DISTINCT FROM m.source
+), run AS (
+  SELECT *, (sum(n * parts) OVER (PARTITION BY source ORDER BY level))::BIGINT AS upto FROM rated
+), tried AS (
+  SELECT source, k * 1000000 // 32 AS start, round(abs(sum(((upto + k * 1000000 // 32) // 1000000 - (upto - n * parts + k * 1000000 // 32) // 1000000) * mean) - any_value(target)), 3) AS off FROM run, range(32) t(k) GROUP BY ALL
+), starts AS (
+  SELECT source, arg_min(start, (off, start)) AS start FROM tried GROUP BY 1
+), placed AS (
+  SELECT r.source, level, n, source_size, target, parts // 1000000 AS each, greatest(0, least(n, (upto + start) // 1000000 - (upto - n * parts + start) // 1000000 - n * (parts // 1000000))) AS extra, ceil(sqrt(n) / 4)::BIGINT AS cells
+  FROM run r JOIN starts s ON r.source IS NOT DISTINCT FROM s.source
+), dealt AS (
+  SELECT doc_id, size, draw, p.*, draw % cells AS cell FROM sized d JOIN placed p ON d.source IS NOT DISTINCT FROM p.source AND d.level = p.level
+), counts AS (
+  SELECT source, level, cell, any_value(n) AS n, any_value(extra) AS extra, count(*) AS m FROM dealt GROUP BY ALL
+), shares AS (
+  SELECT source, level, cell, floor(extra::HUGEINT * upto // n)::BIGINT - floor(extra::HUGEINT * (upto - m) // n)::BIGINT AS wanted FROM (SELECT *, (sum(m) OVER (PARTITION BY source, level ORDER BY cell))::BIGINT AS upto FROM counts)
+), limits AS (
+  SELECT d.source, d.level, d.cell, list_extract(list(draw ORDER BY draw), any_value(wanted)) AS up_to FROM dealt d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source AND d.level = s.level AND d.cell = s.cell WHERE wanted > 0 GROUP BY 1, 2, 3, wanted
+)
+SELECT doc_id, size, source_size, target, ((each + CASE WHEN draw <= up_to THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM dealt d LEFT JOIN limits l ON d.source IS NOT DISTINCT FROM l.source AND d.level = l.level AND d.cell = l.cell"""
+
 #: Queries that DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": _MIX}

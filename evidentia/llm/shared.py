@@ -87,3 +87,21 @@ def with_least(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Tables of no more rows than this, counted first, are sent to every task.
+BROADCAST_ROWS = 100_000
+
+
+def joined_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a table of one row per key, of whatever number of keys, and however many rows share a key.
+
+    A table of ``BROADCAST_ROWS`` rows at most is sent to every task. Beyond that both sides meet in cells of a key, of
+    which every one has a copy of the table's row.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    cell = free_name(rows, "_cell")
+    dealt = rows.withColumn(cell, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copied = table.withColumn(cell, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, [*keys, cell]).drop(cell)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import htmltext, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, tokencounts
-from evidentia.llm.shared import materialize, table
+from evidentia.llm.shared import materialize, scratch_dir, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = materialize(tokencounts.flatten(table(spark, sf_dir, "documents")), "token-files")
-    found = tokencounts.count_tokens(blocks)
-    return found.select(F.get("doc_ids", F.col("place")).alias("doc_id"), "n_tokens", "file", "start")
+    """(doc_id, n_tokens, file, start) per document of ``documents``: its tokens are written to flat files in the shared folder and counted there.
+
+    A null or empty text has 0 tokens. Rows of one id are counted each. No rows give no rows.
+    """
+    folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    written = materialize(tokencounts.write_token_files(table(spark, sf_dir, "documents"), folder), "token-files")
+    files = written.groupBy("file").agg(F.max("bytes").alias("bytes"))
+    counts = tokencounts.count_tokens(tokencounts.find_separators(files))
+    return tokencounts.named(counts, written).select("doc_id", "n_tokens", "file", "start")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import components, htmltext, langid, minhash, mixing, neighbours, packing, queries, secrets, simhash, spans, tokencounts
+from evidentia.llm import components, htmltext, langid, minhash, mixing, neighbours, packing, queries, secrets, simhash, spans
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -364,21 +364,6 @@ def test_spans_of_passages_that_begin_and_end_inside_sentences(spark):
     assert found[301].text.startswith("Anders. ") and len(found[301].text.split()) <= 2 + 22
 
 
-def test_token_counts_against_tokenizer(spark, docs):
-    blocks = tokencounts.flatten(docs, block=512).cache()
-    found = tokencounts.count_tokens(blocks).withColumn("doc_id", F.get("doc_ids", F.col("place")))
-    expected = {r.doc_id: len(packing.ordinary(r.text or "")) for r in docs.select("doc_id", "text").collect()}
-    assert {r.doc_id: r.n_tokens for r in found.collect()} == expected
-    blocks.unpersist()
-
-
-def test_token_counts_of_an_open_end(spark):
-    end, block = 9, [(1, 0, [9, 1, 2]), (1, 1, [3, 4, 5]), (1, 2, [9, 9, 6]), (2, 0, [])]
-    rows = [(f, b, bytearray(np.array(t, "<u2").tobytes())) for f, b, t in block] + [(3, 0, None)]
-    found = tokencounts.count_tokens(spark.createDataFrame(rows, "file long, block long, tokens binary"), end_id=end).collect()
-    assert sorted((r.file, r.start, r.n_tokens, r.closed) for r in found) == [(1, 0, 0, True), (1, 1, 5, True), (1, 7, 0, True), (1, 8, 1, False)]
-
-
 def test_language_of_held_out_documents(spark, docs, odd):
     found = langid.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)

@@ -1,16 +1,18 @@
 """Secret scans: three patterns, and a battery of randomness tests with false-discovery control.
 
 All of it is column expressions. The battery looks at every long run of letters, digits and ``+/_-`` outside the
-patterns' spans. Its alphabet is inferred (hexadecimal, base 32, alphanumeric or base 64); a random string of that
-alphabet must pass a chi-squared test of uniformity, a test of the number of runs of character classes and one of serial
-correlation. The p-value is for the hypothesis that the run is written language or a name: that neighbours change class with
-probability ``CHANGE`` at most, by Chernoff's bound on the binomial tail, which falls with length. Within each band of lengths
-the Benjamini-Hochberg rule over the whole table's candidates picks the threshold.
+patterns' spans. Its alphabet is inferred (hexadecimal, base 32, alphanumeric or base 64). Against the hypothesis that the run is a random
+string of that alphabet stand a chi-squared test of uniformity, a test of the number of runs of character classes and one of serial
+correlation; Fisher's method makes one p-value of theirs. Against the hypothesis that it is written language or a name stand the same
+statistics of uniformity and runs: fewer equal pairs of characters, and more changes of class, than writing has (Poisson and binomial tails by
+Chernoff's bound), combined likewise. All p-values fall with length, and within each band of lengths the Benjamini-Hochberg rule over the
+whole table's candidates picks both thresholds: a secret is a run that isn't refused as random and is refused as writing.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +27,10 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-CHANGE = 0.2
-FALSE_DISCOVERIES = 0.001
-#: Two-sided normal quantile at which each test of the battery refuses a random string in one of 1000 cases.
-REFUSE = 3.29
+#: What writing has: the chance that two of its characters are equal is this at least, and that neighbours are of unlike classes this at most.
+COINCIDENCE, CHANGE = 0.055, 0.2
+#: Of the runs taken for secrets this share may be writing, and of those dismissed as not random this share may be random.
+FALSE_DISCOVERIES, FALSE_DISMISSALS = 0.001, 0.01
 _BINS, _BIN = 400, 10
 _PLACEHOLDER = "[secret]"
 _SYMBOLS = {
@@ -86,13 +88,17 @@ def _encoding(token: Column) -> Column:
 
 
 def _judged(token: Column) -> Column:
-    """struct<band, bin>: the band of lengths, and tenths of -log10 of the p-value (0 where the battery refuses)."""
+    """struct<band, bin, off>: the band of lengths, and tenths of -log10 of the p-values, against writing and against randomness."""
     encoding = _encoding(token)
     plain = F.translate(F.when(encoding == "hex", F.lower(token)).otherwise(token), "-_", "+/")
     alphabet = _pick(encoding, _SYMBOLS)
     size = F.length(token).cast("double")
     symbols = F.length(alphabet).cast("double")
-    squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda total, c: total + F.pow(size - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0)))
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    squares = total(F.transform(F.split(alphabet, ""), lambda c: F.pow(size - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0))))
     free = symbols - 1
     chi = F.greatest(F.lit(0.0), squares * symbols / size - size) / free
     uniform = (F.pow(chi, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
@@ -103,31 +109,51 @@ def _judged(token: Column) -> Column:
     runs = (changes - (size - 1) * expected) / F.sqrt((size - 1) * expected * (1 - expected))
 
     values = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double"))
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
     mean = total(values) / size
     spread = total(F.transform(values, lambda v: (v - mean) * (v - mean)))
     lagged = total(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: (a - mean) * (b - mean)))
     serial = lagged / F.greatest(spread, F.lit(1e-9)) * F.sqrt(size)
 
+    random = let(surprise(uniform) + surprise(F.abs(runs), sides=2) + surprise(F.abs(serial), sides=2), lambda y: y - F.log(1 + y + y * y / 2))
     share = changes / (size - 1)
-    divergence = share * F.log(F.greatest(share, F.lit(1e-12)) / CHANGE) + (1 - share) * F.log(F.greatest(1 - share, F.lit(1e-12)) / (1 - CHANGE))
-    tenths = F.floor(F.least(F.lit(float(_BINS)), (size - 1) * divergence / math.log(10) * _BIN)).cast("int")
-    random = (encoding != "none") & (uniform <= REFUSE) & (F.abs(runs) <= REFUSE) & (F.abs(serial) <= REFUSE) & (share > CHANGE)
-    return F.struct(F.floor(F.log2(size)).cast("int").alias("band"), F.when(random, tenths).otherwise(0).alias("bin"))
+    changed = F.when(share > CHANGE, (size - 1) * (share * F.log(share / CHANGE) + (1 - share) * F.log(F.greatest(1 - share, F.lit(1e-12)) / (1 - CHANGE)))).otherwise(0.0)
+    pairs, usual = (squares - size) / 2, size * (size - 1) / 2 * COINCIDENCE
+    apart = F.when(pairs < usual, usual - pairs + F.when(pairs > 0, pairs * F.log(F.greatest(pairs, F.lit(1.0)) / usual)).otherwise(0.0)).otherwise(0.0)
+    written_ = let(changed + apart, lambda y: y - F.log(1 + y))
+
+    def tenths(negative_log: Column) -> Column:
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(_BINS)), negative_log / math.log(10) * _BIN))).cast("int")
+
+    known = encoding != "none"
+    return F.struct(F.floor(F.log2(size)).cast("int").alias("band"), F.when(known, tenths(written_)).otherwise(0).alias("bin"), F.when(known, tenths(random)).otherwise(_BINS).alias("off"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def surprise(z: Column, sides: int = 1) -> Column:
+    """-ln of the chance that a standard normal value is above ``z``, or, on two ``sides``, farther out (Abramowitz and Stegun 26.2.17)."""
+
+    def tail(z: Column) -> Column:
+        t = 1 / (1 + 0.2316419 * F.abs(z))
+        series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        far = z * z / 2 + math.log(2 * math.pi) / 2 - F.log(series)
+        return F.when(z >= 0, far).otherwise(-F.log(1 - F.exp(-far)))
+
+    return F.greatest(F.lit(0.0), let(z, tail) - math.log(sides))
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, band, bin>> of the long runs that no pattern's span touches."""
+    """array<struct<start, end, band, bin, off>> of the long runs that no pattern's span touches."""
     runs = F.filter(_found(text, CANDIDATE), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def judge(c: Column) -> Column:
         judged = _judged(c["found"])
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), judged["band"].alias("band"), judged["bin"].alias("bin"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), judged["band"].alias("band"), judged["bin"].alias("bin"), judged["off"].alias("off"))
 
-    return F.transform(runs, judge)
+    return F.transform(runs, lambda c: let(c, judge))
 
 
 def _scan(docs: DataFrame, text_col: str, base: str, candidates: str) -> DataFrame:
@@ -135,25 +161,37 @@ def _scan(docs: DataFrame, text_col: str, base: str, candidates: str) -> DataFra
     return docs.withColumn(base, _base(text)).withColumn(candidates, _candidates(text, F.col(base)))
 
 
-def thresholds(candidates: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """(band, bin) per candidate -> by band the least bin that counts as found; bands without any are left out.
+def thresholds(candidates: DataFrame, rate: float, column: str = "bin") -> dict[int, int]:
+    """Candidates (band, ``column``: tenths of -log10 p) -> by band the least tenths that refuse the hypothesis; bands without any are left out.
 
     The Benjamini-Hochberg rule on binned p-values, a bin's p-value being its upper end. What reaches the driver is one number per
     band, and a band is a power of two of lengths.
     """
-    counts = candidates.groupBy("band", "bin").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("band").orderBy(F.col("bin").desc())
+    counts = candidates.groupBy("band", F.col(column).alias("tenths")).agg(F.count("*").alias("n"))
+    above = Window.partitionBy("band").orderBy(F.col("tenths").desc())
     ranked = counts.withColumn("found", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
-    ranked = ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / _BIN) <= rate * F.col("found") / F.col("all")))
-    return {r["band"]: r["least"] for r in ranked.groupBy("band").agg(F.min("bin").alias("least")).collect()}
+    ranked = ranked.where((F.col("tenths") > 0) & (F.pow(F.lit(10.0), -F.col("tenths") / _BIN) <= rate * F.col("found") / F.col("all")))
+    return {r["band"]: r["least"] for r in ranked.groupBy("band").agg(F.min("tenths").alias("least")).collect()}
+
 
+Limits = tuple[dict[int, int], dict[int, int]]
 
-def _passing(candidates: Column, limits: dict[int, int]) -> Column:
-    """The candidates that count as found, as array<struct<start, kind, end>>."""
-    if not limits:
+
+def limits_of(candidates: DataFrame, rate: float) -> Limits:
+    """By band: the tenths from which a run isn't writing, and those from which it isn't random."""
+    return thresholds(candidates, rate), thresholds(candidates, FALSE_DISMISSALS, "off")
+
+
+def _passing(candidates: Column, limits: Limits) -> Column:
+    """The candidates that count as secrets, as array<struct<start, kind, end>>."""
+    written_from, odd_from = limits
+    if not written_from:
         return F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    kept = F.filter(candidates, lambda c: c["bin"] >= F.coalesce(limit[c["band"]], F.lit(_BINS + 1)))
+
+    def limit(values: dict[int, int], band: Column) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[band], F.lit(_BINS + 1)) if values else F.lit(_BINS + 1)
+
+    kept = F.filter(candidates, lambda c: (c["bin"] >= limit(written_from, c["band"])) & (c["off"] < limit(odd_from, c["band"])))
     return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
 
@@ -171,7 +209,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(_scan(rows, "text", "base", "candidates").select("id", "base", "candidates"), "secrets")
-    limits = thresholds(found.select(F.inline("candidates")), rate)
+    limits = limits_of(found.select(F.inline("candidates")), rate)
     return found.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", _passing(F.col("candidates"), limits))).alias("spans"))
 
 
@@ -181,8 +219,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     Overlapping spans share one placeholder. Texts without secrets stay as they are, null texts null.
     """
     base, candidates, spans = free_name(docs, "_base"), free_name(docs, "_candidates"), free_name(docs, "_spans")
-    scanned = _scan(docs, text_col, base, candidates)
-    limits = thresholds(scanned.select(F.inline(candidates)), rate)
+    scanned = materialize(_scan(docs, text_col, base, candidates), "secrets-scanned")
+    limits = limits_of(scanned.select(F.inline(candidates)), rate)
     marked = scanned.withColumn(spans, F.array_sort(F.concat(base, _passing(F.col(candidates), limits))))
     text = F.col(text_col)
 
@@ -192,7 +230,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
 
     clean = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     changed = F.size(spans) > 0
-    columns = {text_col: F.when(changed, clean).otherwise(text)}
+    cleaned = marked.withColumn(text_col, F.when(changed, clean).otherwise(text))
     if length_col in docs.columns:
-        columns[length_col] = F.when(changed, F.length(clean).cast("long")).otherwise(F.col(length_col))
-    return marked.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+        cleaned = cleaned.withColumn(length_col, F.when(changed, F.length(text).cast("long")).otherwise(F.col(length_col)))
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])

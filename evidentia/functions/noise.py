@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import clean_text, jvm, let, letter_ratio, normalise
+from evidentia.functions.text import SPACE, WORD_EDGE, clean_text, jvm, let, letter_ratio, normalise
 
-# Case counts for nothing, \b is an edge of ASCII words.
+# Fixed values: \b is an edge of ASCII words. In the first pattern case counts, in the others it doesn't.
+CASED = r"\bcopyright\b|©"
 PATTERNS = [
     r"^(a|an)\s+(novel|memoir|story|novella|tale|thriller|romance|mystery)\b",
     r"\b(inter)?national\s+bestseller\b",
@@ -35,7 +36,6 @@ PATTERNS = [
     r"^\s*\d{5,}\s*$",
     r"^[\s\d.,$£€]+$",
     r"^[$£€]\s?\d",
-    r"\bcopyright\b|©",
     r"\bwww\.|https?:|\.com\b",
     r"\bclassics?\b",
     r"\b(paperback|hardcover|hardback)\b",
@@ -66,6 +66,14 @@ IMPRINTS = [
 ]
 
 
+#: A line that matches a pattern with letters holds one of these in lower case; what has none of them isn't searched.
+MARKS = [
+    "novel", "memoir", "story", "tale", "thriller", "romance", "mystery", "bestsell", "new york times", "sunday times", "winner of", "listed", "prize", "winning",
+    "pulitzer", "booker", "nobel", "author of", "from the", "now a major", "soon to be", "abridged", "with a new", "by", "edition", "volume", "isbn", "www.",
+    "http", ".com", "classic", "paperback", "hardcover", "hardback", "book ", "prelude to", "—", "–", "-", "прев", "преп", "илустр", "говор", "издание", "издава", "библиотека",
+]
+
+
 def _alternation() -> str:
     """All patterns in one, those that begin at a word's edge behind a single test for it; for lines in lower case."""
     edged = [p[2:] for p in PATTERNS if p.startswith(r"\b") and r"|\b" not in p and "|http" not in p]
@@ -74,19 +82,30 @@ def _alternation() -> str:
     return jvm(joined).removeprefix("(?iu)")
 
 
+def _printed(line: Column, lower: Column) -> Column:
+    """Whether a cleaned line matches a pattern, ``lower`` being the same in lower case."""
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked = marked | F.contains(lower, F.lit(mark))
+    cased = (F.contains(line, F.lit("copyright")) | F.contains(line, F.lit("©"))) & line.rlike(CASED.replace(r"\b", WORD_EDGE))
+    priced = line.rlike(f"^[$£€]{SPACE}?\\d")
+    return cased | priced | (marked & lower.rlike(_alternation()))
+
+
+def refused(line: Column, normal: Column, lower: Column, ratio: Column) -> Column:
+    """Whether a line is noise, from its cleaned, normalised and lower-case forms and its share of letters."""
+    publication = normal.isin(PUBLICATIONS) | normal.rlike(f" (?:{'|'.join(PUBLICATIONS)})$")
+    quoted = (F.length(line) > 12) & line.rlike("""^["'].*["']$""")
+    return (F.length(line) < 2) | (F.length(normal) < 2) | (ratio < 0.5) | normal.isin(IMPRINTS) | publication | quoted | _printed(line, lower)
+
+
 def is_noise(text: Column) -> Column:
     """Whether a line is too short, an imprint, a publication, a quotation, mostly no letters, or matches a pattern."""
+    return let(clean_text(text), lambda line: let(normalise(line), lambda normal: refused(line, normal, F.lower(line), letter_ratio(line))))
+
 
-    def refused(line: Column, normal: Column) -> Column:
-        publication = normal.isin(PUBLICATIONS) | normal.rlike(f" (?:{'|'.join(PUBLICATIONS)})$")
-        return (
-            (F.length(line) < 2)
-            | (F.length(normal) < 2)
-            | normal.isin(IMPRINTS)
-            | publication
-            | (line.rlike("""^["'].*["']$""") & (F.length(line) > 12))
-            | (letter_ratio(line) < 0.5)
-            | F.lower(line).rlike(_alternation())
-        )
-
-    return let(clean_text(text), lambda line: let(normalise(line), lambda normal: refused(line, normal)))
+def with_noise(lines: DataFrame, text: str = "text", noise: str = "noise", clean: str = "clean") -> DataFrame:
+    """``lines`` with ``clean``, the text cleaned, and ``noise``: as ``is_noise``, its steps being columns that are worked out once."""
+    steps = lines.withColumn(clean, clean_text(F.col(text)))
+    steps = steps.withColumns({"_normal": normalise(F.col(clean)), "_lower": F.lower(clean), "_ratio": letter_ratio(F.col(clean))})
+    return steps.withColumn(noise, refused(F.col(clean), F.col("_normal"), F.col("_lower"), F.col("_ratio"))).drop("_normal", "_lower", "_ratio")

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.labels import rounded
 from evidentia.functions.text import letter_count, letter_ratio, name_shape, normalise, strip_author_prefix, tidy_title, wordiness
-from evidentia.operators.lines import PASS
+from evidentia.operators.lines import PASS, tallest_heights
 from evidentia.sources.scratch import stored
 
+# Fixed values.
 PER_ROLE = 5
 PER_SCAN = 6
 NOTHING = "No text large enough to be a title was found"
+TWO_LINES = "two lines of the cover read as one title"
+NAME_ONLY = "only a name was legible"
 
 
 def _pass() -> WindowSpec:
@@ -111,9 +114,9 @@ def interpretations(candidates: DataFrame, cover_max: str | None = None) -> Data
     two = titles.where("title_place <= 2").groupBy(*PASS).agg(
         F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("y0", "title_place", "text"))).alias("parts"), F.min("title_rank").alias("least")
     )
-    joined = two.where("n = 2").select(*PASS, tidy_title(F.array_join(F.col("parts.text"), " ")).alias("title"), F.lit("").alias("author"), (F.col("least") * 0.5).alias("score"), F.lit("two lines of the cover read as one title").alias("reason"), none.alias("author_confidence"), F.lit(100).alias("ord"))
+    joined = two.where("n = 2").select(*PASS, tidy_title(F.array_join(F.col("parts.text"), " ")).alias("title"), F.lit("").alias("author"), (F.col("least") * 0.5).alias("score"), F.lit(TWO_LINES).alias("reason"), none.alias("author_confidence"), F.lit(100).alias("ord"))
 
-    named = authors.where("a.author_place <= 2").select(*PASS, F.lit("").alias("title"), tidy_title(F.col("a.reads_as")).alias("author"), (F.col("a.author_rank") * 0.35).alias("score"), F.lit("only a name was legible").alias("reason"), F.col("a.confidence").alias("author_confidence"), (F.col("a.author_place") + 100).alias("ord"))
+    named = authors.where("a.author_place <= 2").select(*PASS, F.lit("").alias("title"), tidy_title(F.col("a.reads_as")).alias("author"), (F.col("a.author_rank") * 0.35).alias("score"), F.lit(NAME_ONLY).alias("reason"), F.col("a.confidence").alias("author_confidence"), (F.col("a.author_place") + 100).alias("ord"))
     return alone.unionByName(paired).unionByName(joined).unionByName(named)
 
 
@@ -163,19 +166,20 @@ def detect(hypotheses: DataFrame, scans: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     return scans.join(per, "scan_id", "left").select(
         "scan_id", F.coalesce("best.title", F.lit("")).alias("title"), F.coalesce("best.author", F.lit("")).alias("author"),
-        F.coalesce(rounded(F.round(raw, 9)).cast("int"), F.lit(0)).alias("confidence"), F.coalesce("best.reason", F.lit(NOTHING)).alias("reason"),
+        F.when(F.col("best").isNull(), 0).otherwise(rounded(F.round(raw, 9)).cast("int")).alias("confidence"), F.coalesce("best.reason", F.lit(NOTHING)).alias("reason"),
         F.coalesce(others("title"), empty).alias("title_alternates"), F.coalesce(others("author"), empty).alias("author_alternates"), F.lit("ocr").alias("source"),
     )
 
 
 def read_scans(lines: DataFrame, candidates: DataFrame, quality: DataFrame) -> DataFrame:
-    """Pooled hypotheses of scans from their candidates: the size reference is the tallest line of any pass, as a share of the page."""
-    candidates = stored(candidates, "blocks")
-    heights = lines.groupBy(*PASS).agg(F.greatest(F.lit(1.0), F.max("page_height")).alias("page")).join(
-        candidates.groupBy(*PASS).agg(F.max("page_max").alias("tall")), PASS
-    )
-    share = F.col("tall") / F.col("page")
+    """Pooled hypotheses of scans from their candidates: the size reference is the tallest line of any pass, as a share of the page.
+
+    Passes without a candidate count for that size too.
+    """
+    pages = lines.groupBy(*PASS).agg(F.greatest(F.lit(1.0), F.max("page_height")).alias("page")).join(tallest_heights(lines), PASS)
+    share = F.col("page_max") / F.col("page")
     cover = F.greatest(F.lit(1e-4), F.max(share).over(Window.partitionBy("scan_id")))
-    passes = heights.select(*PASS, (cover * F.col("page")).alias("cover_max"), F.least(F.lit(1.0), share / cover).alias("reach")).join(quality, PASS)
+    passes = pages.select(*PASS, (cover * F.col("page")).alias("cover_max"), F.least(F.lit(1.0), share / cover).alias("reach")).join(quality, PASS)
+    passes = stored(passes, "passes")
     readings = interpretations(candidates.join(passes.select(*PASS, "cover_max"), PASS), "cover_max")
     return pool(readings, passes.select(*PASS, "quality", "reach"))

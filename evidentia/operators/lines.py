@@ -6,11 +6,11 @@ Every order has a tie-break by ordinals, so that results don't depend on partiti
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.noise import is_noise
-from evidentia.functions.text import clean_text, contains_reading, dedupe_key, has_author_prefix, letter_count, wordiness
+from evidentia.functions.noise import with_noise
+from evidentia.functions.text import dedupe_key, has_author_prefix, letter_count, wordiness
 
 PASS = ["scan_id", "pass_no"]
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
@@ -24,13 +24,14 @@ def tallest_heights(lines: DataFrame) -> DataFrame:
 
 def usable_lines(lines: DataFrame) -> DataFrame:
     """The lines that can be a title or an author, cleaned, with their pass's ``page_max``."""
-    reads = (F.col("confidence") >= 20) & (letter_count(F.col("text")) >= 3) & (wordiness(F.col("text")) >= 0.5)
+    raw = lines.withColumns({"_letters": letter_count(F.col("text")), "_wordy": wordiness(F.col("text"))})
+    reads = (F.col("confidence") >= 20) & (F.col("_letters") >= 3) & (F.col("_wordy") >= 0.5)
     tallest = F.coalesce(F.max(F.when(reads, F.col("height"))).over(Window.partitionBy(*PASS)), F.lit(0.0))
-    clean = lines.withColumn("page_max", tallest).where(~is_noise(F.col("text"))).withColumn("text", clean_text(F.col("text")))
-    letters = letter_count(F.col("text"))
+    clean = with_noise(raw.withColumn("page_max", tallest)).where(~F.col("noise")).withColumn("text", F.col("clean")).drop("noise", "clean")
+    judged = clean.withColumns({"_letters": letter_count(F.col("text")), "_wordy": wordiness(F.col("text"))})
     display = (F.col("page_max") > 0) & (F.col("height") >= F.col("page_max") * 0.5)
-    keep = F.when(display, (F.col("confidence") >= 20) & (letters >= 4) & (wordiness(F.col("text")) >= 0.5)).otherwise((F.col("confidence") >= 30) & (letters >= 3))
-    return clean.where(keep)
+    keep = F.when(display, (F.col("confidence") >= 20) & (F.col("_letters") >= 4) & (F.col("_wordy") >= 0.5)).otherwise((F.col("confidence") >= 30) & (F.col("_letters") >= 3))
+    return judged.where(keep).drop("_letters", "_wordy")
 
 
 def pass_quality(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -147,18 +148,35 @@ def single_line_candidates(lines: DataFrame) -> DataFrame:
     )
 
 
+def _last_pass(least: int):
+    """Per scan the pass after which an adaptive reader stops, none if it never does."""
+
+    def fold(lines: pd.DataFrame) -> pd.DataFrame:
+        passes, last = sorted(lines["pass_no"].unique()), None
+        for n, number in enumerate(passes, 1):
+            if n < least:
+                continue
+            best = lines[(lines["pass_no"] <= number) & (lines["dedupe"] != "")].sort_values(["confidence", "pass_no", "line_no"], ascending=[False, True, True], kind="stable").drop_duplicates("dedupe")
+            kept = best.merge(_keep_apart(best), on=["scan_id", "pass_no", "line_no"]) if len(best) else best
+            solid = kept[kept["solid"]]
+            if len(solid) >= 2 and solid["n_words"].sum() >= 3 and (solid["n_letters"] >= 8).any():
+                last = int(number)
+                break
+        return pd.DataFrame({"scan_id": [lines["scan_id"].iloc[0]], "last_pass": pd.array([last], "Int32")})
+
+    return fold
+
+
 def passes_until_strong(lines: DataFrame, least: int = 3) -> DataFrame:
-    """The lines of the passes that an adaptive reader would run: up to the first, from ``least`` on, by which the evidence is strong."""
-    passes = lines.select(*PASS).distinct()
-    so_far = passes.withColumnRenamed("pass_no", "upto").join(lines, "scan_id").where(F.col("pass_no") <= F.col("upto"))
-    strong = strong_evidence(distinct_lines(so_far.withColumn("scan", F.col("scan_id")).withColumn("scan_id", F.struct("scan_id", "upto"))), ["scan_id"])
-    order = F.row_number().over(Window.partitionBy("scan_id").orderBy("pass_no"))
-    ranked = passes.withColumn("nth", order)
-    stops = strong.where("strong").select("scan_id.scan_id", F.col("scan_id.upto").alias("pass_no")).join(ranked, PASS).where(F.col("nth") >= least)
-    last = stops.groupBy("scan_id").agg(F.min("pass_no").alias("last_pass"))
-    return lines.join(last, "scan_id", "left").where(F.col("last_pass").isNull() | (F.col("pass_no") <= F.col("last_pass"))).drop("last_pass")
-
-
-def clash(a: Column, b: Column) -> Column:
-    """Whether reading ``a`` replaces reading ``b`` where their boxes overlap."""
-    return contains_reading(a, b)
+    """The lines of the passes that an adaptive reader would run: up to the first, from ``least`` on, by which the evidence is strong.
+
+    What is judged are the merged lines of the passes so far, so a line that several passes read counts once.
+    """
+    text = F.col("text")
+    slim = lines.select(
+        *PASS, "line_no", "confidence", "bbox", dedupe_key(text).alias("dedupe"), letter_count(text).alias("n_letters"), F.size(F.filter(F.split(text, r"\s+"), lambda w: letter_count(w) >= 2)).alias("n_words"),
+        ((F.col("confidence") >= 80) & (letter_count(text) >= 4) & (wordiness(text) >= 0.6)).alias("solid"),
+    )
+    last = slim.groupBy("scan_id").applyInPandas(_last_pass(least), "scan_id long, last_pass int")
+    return lines.join(last, "scan_id").where(F.col("last_pass").isNull() | (F.col("pass_no") <= F.col("last_pass"))).drop("last_pass")
+

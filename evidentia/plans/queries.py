@@ -131,7 +131,7 @@ weights AS (SELECT *, CASE WHEN list_contains({S.array(T.STOPWORDS)}, known) THE
   length(known) >= 4 AND NOT list_contains({S.array(T.STOPWORDS)}, known) AS sig FROM wanted),
 totals AS (SELECT item_id, sum(weight) AS weight, count(*) FILTER (sig) AS n FROM weights GROUP BY 1),
 got AS (SELECT scan_id, item_id, sum(weight) AS weight, count(*) FILTER (sig) AS n FROM hits JOIN weights USING (known) GROUP BY 1, 2)
-SELECT scan_id, item_id, round(got.weight::DOUBLE / totals.weight, 6) AS coverage, round(got.n::DOUBLE / totals.n, 6) AS significant FROM got JOIN totals USING (item_id) WHERE got.n > 0"""
+SELECT scan_id, item_id, round(got.weight::DOUBLE / totals.weight, 6) AS coverage, round(got.n::DOUBLE / totals.n, 6) AS significant FROM got JOIN totals USING (item_id) WHERE got.n > 0 AND got.n::DOUBLE / totals.n >= 0.5"""
 )
 def coverage_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     found = identify.covered(*_fuzzy_inputs(spark, folder))
@@ -143,7 +143,8 @@ def coverage_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {S.NOISY} SELECT scan_id, line_no, {S.is_noise('text')} AS noise FROM lines")
 def noise_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return views.lines(spark, folder, noisy=True).select("scan_id", F.col("line_no").cast("long").alias("line_no"), noise.is_noise(F.col("text")).alias("noise"))
+    rows = noise.with_noise(views.lines(spark, folder, noisy=True))
+    return rows.select("scan_id", F.col("line_no").cast("long").alias("line_no"), "noise")
 
 
 @query(f"WITH {S.USABLE} SELECT DISTINCT scan_id, pass_no, page_max FROM paged")
@@ -261,8 +262,8 @@ seconds AS (SELECT scan_id, score AS second FROM hypotheses WHERE rank = 2),
 ts AS (SELECT scan_id, title, min(rank) AS r FROM hypotheses WHERE title <> '' GROUP BY 1, 2), aus AS (SELECT scan_id, author, min(rank) AS r FROM hypotheses WHERE author <> '' GROUP BY 1, 2),
 ta AS (SELECT t.scan_id, list(t.title ORDER BY r)[1:4] AS l FROM ts t JOIN best b ON b.scan_id = t.scan_id AND b.title <> t.title GROUP BY 1), aa AS (SELECT a.scan_id, list(a.author ORDER BY r)[1:4] AS l FROM aus a JOIN best b ON b.scan_id = a.scan_id AND b.author <> a.author GROUP BY 1)
 SELECT s.scan_id, coalesce(b.title, '') AS title, coalesce(b.author, '') AS author,
-  coalesce(floor(round(least(96.0::DOUBLE, (b.score * 0.5::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (b.score - coalesce(second, 0)) / 0.25::DOUBLE)) * 0.25::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, read / 100)) * 0.25::DOUBLE) * 100)
-    * (0.5::DOUBLE + 0.5::DOUBLE * (least(1.0::DOUBLE, greatest(0.3::DOUBLE, {S.letters('b.title')}::DOUBLE / 12)) * greatest(0.4::DOUBLE, {S.wordiness('b.title')}))), 9) + 0.5)::INTEGER, 0) AS confidence,
+  CASE WHEN b.scan_id IS NULL THEN 0 ELSE (floor(round(least(96.0::DOUBLE, (b.score * 0.5::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (b.score - coalesce(second, 0)) / 0.25::DOUBLE)) * 0.25::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, read / 100)) * 0.25::DOUBLE) * 100)
+    * (0.5::DOUBLE + 0.5::DOUBLE * (least(1.0::DOUBLE, greatest(0.3::DOUBLE, {S.letters('b.title')}::DOUBLE / 12)) * greatest(0.4::DOUBLE, {S.wordiness('b.title')}))), 9) + 0.5))::INTEGER END AS confidence,
   coalesce(b.reason, {S.text(candidates.NOTHING)}) AS reason, coalesce(array_to_string(ta.l, '|'), '') AS title_alternates, coalesce(array_to_string(aa.l, '|'), '') AS author_alternates
 FROM scans s LEFT JOIN best b USING (scan_id) LEFT JOIN seconds USING (scan_id) LEFT JOIN ta USING (scan_id) LEFT JOIN aa USING (scan_id)"""
 )
@@ -358,7 +359,7 @@ def document_support(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def group_detections(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.parts(spark, folder).select((F.col("p_partkey") % 97).alias("batch_id"), F.col("p_partkey").alias("item_no"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (F.col("p_partkey") * 31 % 101).cast("int").alias("confidence"), F.lit("read").alias("reason"), F.lit("ocr").alias("source"))
+    rows = views.parts(spark, folder).select(F.floor(F.col("p_partkey") / 40).alias("batch_id"), F.col("p_partkey").alias("item_no"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (F.col("p_partkey") * 31 % 101).cast("int").alias("confidence"), F.lit("read").alias("reason"), F.lit("ocr").alias("source"))
     return group.group_detections(rows)
 
 
@@ -367,9 +368,9 @@ def group_detections(spark: SparkSession, folder: str) -> DataFrame:
 _BOOKS = "books AS (SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand AS author, CASE p_partkey % 3 WHEN 0 THEN 'read' WHEN 2 THEN 'unread' END AS status, o_orderdate AS date_added FROM part JOIN orders ON p_partkey = o_orderkey)"
 
 
-@query(f"WITH {_BOOKS} SELECT id, title, author FROM books WHERE len(list_filter({S.words(S.text('br gre'))}, lambda n: len(list_filter({S.words(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || author')}, lambda w: starts_with(w, n))) = 0)) = 0")
+@query(f"WITH {_BOOKS} SELECT id, title, author FROM books WHERE len(list_filter({S.words(S.text('re bra'))}, lambda n: len(list_filter({S.words(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || author')}, lambda w: starts_with(w, n))) = 0)) = 0")
 def search_books(spark: SparkSession, folder: str) -> DataFrame:
-    return library.search(views.books(spark, folder), "br gre").select("id", "title", "author")
+    return library.search(views.books(spark, folder), "re bra").select("id", "title", "author")
 
 
 @query(f"WITH {_BOOKS} SELECT count(*) AS total, count(*) FILTER (status = 'read') AS read, count(*) FILTER (coalesce(status, 'unread') = 'unread') AS unread FROM books")
@@ -382,7 +383,7 @@ def recent_books(spark: SparkSession, folder: str) -> DataFrame:
     return library.newest(views.books(spark, folder), 4).select("id", "title", "date_added")
 
 
-@query(f"WITH {_BOOKS} SELECT id, title, author, coalesce(status, 'unread') AS status FROM books WHERE p_delete = false".replace(" WHERE p_delete = false", " WHERE id::BIGINT % 5 <> 0"))
+@query(f"WITH {_BOOKS} SELECT id, title, author, coalesce(status, 'unread') AS status FROM books WHERE id::BIGINT % 5 <> 0")
 def delete_books(spark: SparkSession, folder: str) -> DataFrame:
     rows = library.with_status(views.books(spark, folder))
     return library.delete(rows, rows.where("cast(id as long) % 5 = 0")).select("id", "title", "author", "status")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.functions.noise import IMPRINTS, PATTERNS, PUBLICATIONS
+from evidentia.functions.noise import CASED, IMPRINTS, PATTERNS, PUBLICATIONS
 from evidentia.functions.text import FUNCTION_WORDS, PARTICLES, SMALL_WORDS, STOPWORDS, SYLLABIC, VOWELS
 from evidentia.plans.views import NOISE
 
@@ -139,7 +139,7 @@ def is_noise(x: str) -> str:
     norm = normal(line)
     publication = " OR ".join(f"{norm} = {text(p)} OR suffix({norm}, {text(' ' + p)})" for p in PUBLICATIONS)
     quoted = f"""(regexp_matches({line}, '^["''].*["'']$') AND length({line}) > 12)"""
-    return f"(length({line}) < 2 OR length({norm}) < 2 OR list_contains({array(IMPRINTS)}, {norm}) OR {publication} OR {quoted} OR ({letter_ratio(line)}) < 0.5 OR {matches(line, '|'.join(f'(?:{p})' for p in PATTERNS))})"
+    return f"(length({line}) < 2 OR length({norm}) < 2 OR list_contains({array(IMPRINTS)}, {norm}) OR {publication} OR {quoted} OR ({letter_ratio(line)}) < 0.5 OR regexp_matches({line}, {text(CASED)}) OR {matches(line, '|'.join(f'(?:{p})' for p in PATTERNS))})"
 
 
 _LINES = """raw AS (
@@ -174,9 +174,11 @@ CANDIDATES = f"""{USABLE}, cand AS (
 def scored(page: str) -> str:
     """Candidates with scores, ranks and places, sizes measured against ``page``."""
     return rf"""{CANDIDATES}, covered AS (
-  SELECT *, max(page_height) OVER (PARTITION BY scan_id, pass_no) AS page, max(page_max) OVER (PARTITION BY scan_id, pass_no) AS tall_max FROM cand
-), covers AS (
+  SELECT scan_id, pass_no, max(page_height) AS page, max(page_max) AS tall_max FROM paged GROUP BY ALL
+), measures AS (
   SELECT *, greatest(0.0001::DOUBLE, max(tall_max / greatest(1.0::DOUBLE, page)) OVER (PARTITION BY scan_id)) * greatest(1.0::DOUBLE, page) AS cover_max FROM covered
+), covers AS (
+  SELECT c.*, page, tall_max, cover_max FROM cand c JOIN measures USING (scan_id, pass_no)
 ), sized AS (
   SELECT *, {page} AS ref, greatest({page}, max(height) OVER (PARTITION BY scan_id, pass_no), 1.0::DOUBLE) AS top, greatest(max(height) OVER (PARTITION BY scan_id, pass_no), 1.0::DOUBLE) AS tallest,
     len(regexp_split_to_array(text, '\s+')) AS n_words, len(regexp_split_to_array(reads_as, '\s+')) AS n_name FROM covers

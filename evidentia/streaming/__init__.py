@@ -1 +1 @@
-
+"""Scans and lookups on streams."""

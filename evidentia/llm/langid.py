@@ -8,11 +8,10 @@ cosine with the document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ SYMBOLS = 128
 #: Learning takes about this many documents of each language, chosen by a hash of their ids.
 SAMPLE_PER_LANGUAGE = 1000
 UNDETERMINED = "und"
+#: Four standard deviations of the cosine of unrelated vectors, and how many letters a text has to have to be refused for less.
+LEAST, ENOUGH = 4 / DIMENSIONS**0.5, 20
 _PIECE, _DOCS, _COLUMNS = 1 << 19, 128, 2048
 
 
@@ -96,11 +97,17 @@ def encode(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _bundle(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(DIMENSIONS)
-    for i in range(0, len(group), _DOCS):
-        total += encode(group["text"].iloc[i : i + _DOCS].tolist()).sum(axis=0)
-    return pd.DataFrame({"lang": [key[0]], "vector": [total]})
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) -> a bundle per language of what a task has; a few documents are held at a time."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for i in range(0, batch.num_rows, _DOCS):
+            part = batch.slice(i, _DOCS)
+            for lang, vector in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                total[lang] = total.get(lang, 0.0) + vector
+    if total:
+        vectors = pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), vectors], ["lang", "vector"])
 
 
 def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[float]]:
@@ -116,7 +123,9 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
         return {}
     share = F.create_map(*[x for lang, p in shares.items() for x in (F.lit(lang), F.lit(p))])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
-    found = chosen.groupBy("lang").applyInPandas(_bundle, "lang string, vector array<double>").collect()
+    parts = chosen.mapInArrow(_bundled, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("place", "value"))
+    sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
+    found = sums.select("lang", F.transform("v", lambda x: x["value"]).alias("vector")).collect()
     return {r["lang"]: r["vector"] for r in sorted(found, key=lambda r: r["lang"]) if any(r["vector"])}
 
 
@@ -167,10 +176,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), guess.alias("guess")).select(id_col, "held_out", "guess.lang_pred", "guess.score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a recognised language: not ``und``, and with a positive cosine."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: Sequence[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` in a language: one of ``languages``, or any that could be learned.
+
+    Null texts and texts without a letter go. So do texts of ``ENOUGH`` letters or more whose cosine with every prototype is below ``least``,
+    which is as near as unrelated vectors may come by chance: other scripts, noise, code. Shorter texts can't be told apart and stay.
+    Repeated rows stay, all columns stay, no rows give no rows.
+    """
     small_batches(docs.sparkSession)
     prototypes = learn(docs, ~held_out(id_col), text_col, lang_col, id_col)
     guess = free_name(docs, "_guess")
     found = docs.withColumn(guess, predictor(prototypes)(F.col(text_col)))
-    return found.where((F.col(guess)["lang_pred"] != UNDETERMINED) & (F.col(guess)["score"] > 0)).drop(guess)
+    lang, score = F.col(guess)["lang_pred"], F.col(guess)["score"]
+    kept = found.where((lang != UNDETERMINED) & ((score >= least) | (F.regexp_count(F.col(text_col), F.lit(r"\p{L}")) < ENOUGH)))
+    return (kept if languages is None else kept.where(lang.isin(list(languages)))).drop(guess)

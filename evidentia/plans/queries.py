@@ -332,31 +332,6 @@ def identify_scans(spark: SparkSession, folder: str) -> DataFrame:
     return identify.identify(_detections(spark, folder), evidence, queries, views.catalogue(spark, folder))
 
 
-#: What evidence would be if it were a document's own words, so that the scoring has an oracle without the steps before it.
-@query(
-    f"""WITH e AS (SELECT doc_id AS scan_id, list_distinct({S.words('text')}) AS ws FROM documents WHERE text IS NOT NULL),
-c AS (SELECT item_id, text AS title, {S.words('text')} AS f, {S.words(S.main_title('text'))} AS s, item_id % 50 + 1 AS editions FROM benchmark),
-near AS (SELECT DISTINCT scan_id, item_id FROM (SELECT scan_id, unnest(ws) AS w FROM e) JOIN (SELECT item_id, unnest(list_distinct(f)) AS w FROM c) USING (w) WHERE length(w) >= 9),
-k AS (SELECT DISTINCT scan_id, w AS known FROM near JOIN (SELECT item_id, unnest(list_distinct(f)) AS w FROM c) USING (item_id) JOIN e USING (scan_id) WHERE len(list_filter(ws, lambda r: {S.token_matches('r', 'w')})) > 0),
-kl AS (SELECT scan_id, list(known) AS known FROM k GROUP BY 1),
-p AS (SELECT scan_id, item_id, title, f, s, editions, coalesce(known, []) AS known FROM near JOIN c USING (item_id) LEFT JOIN kl USING (scan_id)),
-q AS (SELECT *, list_sum(list_transform(f, lambda w: CASE WHEN list_contains({S.array(T.STOPWORDS)}, w) THEN 1 ELSE length(w) END)) AS wf, list_sum(list_transform(s, lambda w: CASE WHEN list_contains({S.array(T.STOPWORDS)}, w) THEN 1 ELSE length(w) END)) AS wsh,
-  coalesce(list_sum(list_transform(list_filter(f, lambda w: list_contains(known, w)), lambda w: CASE WHEN list_contains({S.array(T.STOPWORDS)}, w) THEN 1 ELSE length(w) END)), 0) AS mf,
-  coalesce(list_sum(list_transform(list_filter(s, lambda w: list_contains(known, w)), lambda w: CASE WHEN list_contains({S.array(T.STOPWORDS)}, w) THEN 1 ELSE length(w) END)), 0) AS ms,
-  coalesce(list_max(list_transform(list_filter({S.significant_of('f')}, lambda w: list_contains(known, w)), lambda w: length(w))), 0) AS lt FROM p),
-r AS (SELECT *, greatest(mf::DOUBLE / wf, ms::DOUBLE / wsh * 0.98::DOUBLE) AS t FROM q)
-SELECT scan_id, item_id, round(t, 6) AS title_support, lt AS longest_title, round(t * 0.6::DOUBLE + least(1.0::DOUBLE, log10(editions + 1.0::DOUBLE) / 3) * 0.04::DOUBLE, 6) AS score FROM r"""
-)
-def document_support(spark: SparkSession, folder: str) -> DataFrame:
-    scans, _ = _fuzzy_inputs(spark, folder)
-    known = views.catalogue(spark, folder).withColumn("author_name", F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    evidence = scans.select("scan_id", F.array_distinct("words").alias("words"), none.alias("author_words"), none.alias("title_words"))
-    near = evidence.select("scan_id", F.explode("words").alias("w")).where("length(w) >= 9").join(known.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("w")), "w").select("scan_id", "doc_id").distinct()
-    found = identify.score_documents(near.join(known, "doc_id").join(evidence, "scan_id"))
-    return found.select("scan_id", F.col("doc_id").alias("item_id"), F.round("title_support", 6).alias("title_support"), F.col("longest_title").cast("long").alias("longest_title"), F.round("score", 6).alias("score"))
-
-
 @query()
 def group_detections(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.parts(spark, folder).select(F.floor(F.col("p_partkey") / 40).alias("batch_id"), F.col("p_partkey").alias("item_no"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), (F.col("p_partkey") * 31 % 101).cast("int").alias("confidence"), F.lit("read").alias("reason"), F.lit("ocr").alias("source"))

@@ -162,7 +162,8 @@ def read_with(images: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame],
                 found = reader(batch)
             except Exception:  # found out image by image
                 found = pd.concat([alone(batch.iloc[i : i + 1]) for i in range(len(batch))])
-            yield found.reindex(columns=names)
+            found = found.reindex(columns=names)
+            yield pd.DataFrame({n: pd.Series(found[n].tolist(), dtype=object) for n in names})
 
     return images.mapInPandas(work, shape)
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evidentia.plans import queries as core
+from evidentia.plans import registry as core
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -21,10 +21,12 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from evidentia.llm.minhash import _mixed, _powers
 from evidentia.llm.shared import free_name, materialize, small_batches
 
-#: A span has this many sentences and words at least.
+#: A span has this many sentences and words at least. One word, or so many in turn, over and over is no passage.
 SENTENCES = 2
-WORDS = 20
-#: Of so many runs of words in a row one is a span at least. It is below ``WORDS``, so that spans leave no gap inside a passage.
+WORDS = 38
+REPEATING = 4
+#: Of so many runs of words in a row one is a span at least. It is below ``WORDS``, so that spans leave no gap inside a passage; with it every
+#: repeated run of WORDS + WINDOW - 1 = 49 whole words, as any passage of 51 words has, holds a span.
 WINDOW = 12
 _BLOCK = 1 << 20
 _WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
@@ -37,6 +39,11 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def _repeats(words: list) -> bool:
+    """Whether the words are the first few over and over."""
+    return any(words[0] == words[p] and words[p:] == words[:-p] for p in range(1, REPEATING + 1))
+
+
 def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end) of every span; case and white space of sentences don't count."""
     split = [x.lower().split() for x in pieces]
@@ -49,7 +56,9 @@ def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -
             end += 1
         if held < words or end - start < least:
             break
-        found.append((int.from_bytes(xxhash.xxh64_digest(b"".join(digests[start:end])), "big", signed=True), start, end))
+        head = (split[start] + split[start + 1])[: REPEATING + 1]
+        if (len(head) > REPEATING and head[0] not in head[1:]) or not _repeats([w for x in split[start:end] for w in x]):
+            found.append((int.from_bytes(xxhash.xxh64_digest(b"".join(digests[start:end])), "big", signed=True), start, end))
         held -= sizes[start]
     return found
 
@@ -95,6 +104,13 @@ def run_hashes(text: str, words: int = WORDS, window: int = WINDOW) -> tuple[np.
     # a run is chosen if it is the least of any of the windows that hold it, ties too
     most = np.lib.stride_tricks.sliding_window_view(np.pad(least, window - 1), window).max(axis=1)
     chosen = np.flatnonzero(most == runs)
+    # only a run that looks so at its begin and in its middle can repeat itself
+    middle = chosen + words // 2
+    odd = np.zeros(len(chosen), bool)
+    for p in range(1, REPEATING + 1):
+        odd |= (hashes[chosen] == hashes[chosen + p]) & (hashes[middle] == hashes[middle + p])
+    if odd.any():
+        chosen = chosen[[not (x and _repeats(hashes[i : i + words].tolist())) for i, x in zip(chosen, odd, strict=True)]]
     return runs[chosen].view(np.int64), begins[chosen], np.append(begins, len(text))[chosen + words]
 
 

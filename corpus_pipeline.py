@@ -9,27 +9,33 @@ from evidentia.llm.shared import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language."""
+    """Documents in a recognised language; null texts, texts without a letter and texts unrelated to any language go.
+
+    Repeated rows stay, whatever their columns; no rows give no rows.
+    """
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, the one of the least id; rows without an id stay where their group has no other.
+
+    Ties under one id go to the least fingerprint, then the least digest; null and wordless texts are one group. No rows give no rows.
+    """
     return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a placeholder."""
+    """Every document, its secrets replaced by a placeholder and ``n_chars`` brought up to date; null texts stay null. No rows give no rows."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: not at all, once or twice; a null source is one of its own. No rows give no rows."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with their token ids."""
+    """Training sequences with their token ids, one piece each; a null text gives the end id alone. No rows give no rows."""
     return packing.pack(docs)
 
 

@@ -69,8 +69,9 @@ IMPRINTS = [
 #: A line that matches a pattern with letters holds one of these in lower case; what has none of them isn't searched.
 MARKS = [
     "novel", "memoir", "story", "tale", "thriller", "romance", "mystery", "bestsell", "new york times", "sunday times", "winner of", "listed", "prize", "winning",
-    "pulitzer", "booker", "nobel", "author of", "from the", "now a major", "soon to be", "abridged", "with a new", "by", "edition", "volume", "isbn", "www.",
-    "http", ".com", "classic", "paperback", "hardcover", "hardback", "book ", "prelude to", "—", "–", "-", "прев", "преп", "илустр", "говор", "издание", "издава", "библиотека",
+    "pulitzer", "booker", "nobel", "author of", "from the author", "from the creator", "now a major", "soon to be", "abridged", "with a new", "translated", "illustrated", "edited", "introduced",
+    "foreword", "afterword", "edition", "volume", "isbn", "www.", "http", ".com", "classic", "paperback", "hardcover", "hardback", "book one", "book two", "book three", "book 1", "book 2",
+    "book 3", "prelude to", "прев", "преп", "илустр", "говор", "издание", "издава", "библиотека",
 ]
 
 
@@ -84,12 +85,11 @@ def _alternation() -> str:
 
 def _printed(line: Column, lower: Column) -> Column:
     """Whether a cleaned line matches a pattern, ``lower`` being the same in lower case."""
-    marked = F.lit(False)
-    for mark in MARKS:
-        marked = marked | F.contains(lower, F.lit(mark))
+    marked = F.exists(F.array(*map(F.lit, MARKS)), lambda mark: F.contains(lower, mark))
     cased = (F.contains(line, F.lit("copyright")) | F.contains(line, F.lit("©"))) & line.rlike(CASED.replace(r"\b", WORD_EDGE))
     priced = line.rlike(f"^[$£€]{SPACE}?\\d")
-    return cased | priced | (marked & lower.rlike(_alternation()))
+    dashed = line.rlike(r"^[—–-]{1,2}\s*\p{L}")
+    return cased | priced | dashed | (marked & lower.rlike(_alternation()))
 
 
 def refused(line: Column, normal: Column, lower: Column, ratio: Column) -> Column:

@@ -146,13 +146,16 @@ def tidy_title(text: Column) -> Column:
     return let(collapse(text), tidy)
 
 
-def _is_word_like(token: Column) -> Column:
-    return (F.length(token) >= 2) & (token.rlike(VOWELS) | (token.rlike(r"\p{IsCyrillic}") & token.rlike(SYLLABIC)))
+def wordiness_of(normal: Column) -> Column:
+    """Share of the words of a normalised text that read like words rather than scraps: two letters or more, and a vowel or a letter that carries a syllable."""
+    words = F.regexp_count(normal, F.lit("[^ ]+"))
+    like = F.regexp_count(F.concat(F.lit(" "), normal), F.lit(f" (?=[^ ]{{2}})[^ ]*?{VOWELS[:-1]}{SYLLABIC[1:]}"))
+    return F.coalesce(F.try_divide(like, words), F.lit(0.0))
 
 
 def wordiness(text: Column) -> Column:
     """Share of the words that read like words rather than scraps; 0 without words."""
-    return let(tokens(text), lambda parts: F.when(F.size(parts) == 0, 0.0).otherwise(F.size(F.filter(parts, _is_word_like)) / F.size(parts)))
+    return wordiness_of(normalise(text))
 
 
 def join_spaced_letters(text: Column, repair: bool = False) -> Column:
@@ -177,23 +180,28 @@ def has_author_prefix(text: Column) -> Column:
     return text.rlike(jvm(AUTHOR_PREFIX))
 
 
-def name_shape(text: Column) -> Column:
-    """How much a line looks like a personal name, 0 to 1."""
+def _capital_words(bare: Column) -> Column:
+    """How many words begin with a capital or are mostly capitals. Only a text with a capital inside a word is taken apart for it."""
+    begin = F.regexp_count(F.concat(F.lit(" "), bare), F.lit(f"{SPACE}\\p{{Lu}}"))
+    words = F.filter(F.split(bare, SPACE + "+"), lambda w: w.rlike(r"^\p{Lu}") | is_mostly_upper(w))
+    inside = F.concat(F.lit(" "), bare).rlike(f"{SPACE}[^\\p{{Lu}}{SPACE[1:-1]}]+\\p{{Lu}}")
+    return F.when(inside, F.size(words)).otherwise(begin)
+
 
-    def shape(bare: Column, words: Column) -> Column:
-        n = F.size(words)
-        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}") | is_mostly_upper(w)))
-        score = capital / n * 0.5
-        score = score + F.when(n.between(2, 4), 0.3).otherwise(0.0)
-        score = score + F.when(bare.rlike(r"\p{Lu}\."), 0.2).otherwise(0.0)
-        score = score + F.when(bare.rlike(jvm(PARTICLES)), 0.05).otherwise(0.0)
-        score = score - F.when(bare.rlike(jvm(FUNCTION_WORDS)), 0.25).otherwise(0.0)
-        return F.when((n < 1) | (n > 5), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+def name_shape_of(bare: Column) -> Column:
+    """``name_shape`` of a text that is trimmed and has no author prefix."""
+    n = F.regexp_count(bare, F.lit(f"[^{SPACE[1:-1]}]+"))
+    score = F.coalesce(F.try_divide(_capital_words(bare), n), F.lit(0.0)) * 0.5
+    score = score + F.when(n.between(2, 4), 0.3).otherwise(0.0)
+    score = score + F.when(bare.rlike(r"\p{Lu}\."), 0.2).otherwise(0.0)
+    score = score + F.when(bare.rlike(jvm(PARTICLES)), 0.05).otherwise(0.0)
+    score = score - F.when(bare.rlike(jvm(FUNCTION_WORDS)), 0.25).otherwise(0.0)
+    return F.when((n < 1) | (n > 5), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
-    def words_of(bare: Column) -> Column:
-        return F.filter(F.split(bare, SPACE + "+"), lambda w: w != "")
 
-    return let(F.trim(strip_author_prefix(text)), lambda bare: let(words_of(bare), lambda words: shape(bare, words)))
+def name_shape(text: Column) -> Column:
+    """How much a line looks like a personal name, 0 to 1."""
+    return name_shape_of(F.trim(strip_author_prefix(text)))
 
 
 def significant(words: Column) -> Column:

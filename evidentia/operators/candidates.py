@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from evidentia.functions.labels import rounded
-from evidentia.functions.text import letter_count, letter_ratio, name_shape, normalise, strip_author_prefix, tidy_title, wordiness
+from evidentia.functions.text import letter_count, letter_ratio, name_shape_of, normalise, strip_author_prefix, tidy_title, wordiness
 from evidentia.operators.lines import PASS, tallest_heights
 from evidentia.sources.scratch import stored
 
@@ -33,7 +33,8 @@ def _words(text: Column) -> Column:
 def shaped(candidates: DataFrame) -> DataFrame:
     """Candidates with the measures that the scores share."""
     text = F.col("text")
-    return candidates.withColumns({"name": name_shape(text), "wordy": wordiness(text), "letters": letter_ratio(text), "reads_as": strip_author_prefix(text)})
+    bare = candidates.withColumn("reads_as", strip_author_prefix(text)).withColumn("_bare", F.trim("reads_as"))
+    return bare.withColumns({"name": name_shape_of(F.col("_bare")), "wordy": wordiness(text), "letters": letter_ratio(text)}).drop("_bare")
 
 
 def title_scores(candidates: DataFrame, cover_max: str | None = None) -> DataFrame:
@@ -94,13 +95,14 @@ def interpretations(candidates: DataFrame, cover_max: str | None = None) -> Data
             "tallest": F.greatest(F.max("height").over(_pass()), F.lit(1.0)),
         }
     )
-    base = stored(base.where(f"title_place <= {PER_ROLE} or author_place <= {PER_ROLE}"), "candidates")
-    keep = [*PASS, "cand_no", "text", "reads_as", "height", "confidence", "y0", "name", "by_prefix"]
+    base = base.where(f"title_place <= {PER_ROLE} or author_place <= {PER_ROLE}")
+    base = stored(base.withColumns({"as_title": tidy_title(F.col("text")), "as_author": tidy_title(F.col("reads_as"))}), "candidates")
+    keep = [*PASS, "cand_no", "text", "as_title", "height", "confidence", "y0", "name", "by_prefix"]
     titles = base.where(F.col("title_place") <= PER_ROLE).select(*keep, "title_rank", "title_place", "weight", describe(F.col("height"), F.col("tallest"), F.col("centre_y"), F.col("confidence")).alias("reason"))
-    authors = base.where(F.col("author_place") <= PER_ROLE).select(*PASS, F.struct("cand_no", "reads_as", "height", "confidence", "name", "by_prefix", "author_rank", "author_place").alias("a"))
+    authors = base.where(F.col("author_place") <= PER_ROLE).select(*PASS, F.struct("cand_no", "as_author", "height", "confidence", "name", "by_prefix", "author_rank", "author_place").alias("a"))
     none = F.lit(None).cast("double")
 
-    alone = titles.select(*PASS, tidy_title(F.col("text")).alias("title"), F.lit("").alias("author"), (F.col("title_rank") * 0.6 * F.col("weight")).alias("score"), "reason", none.alias("author_confidence"), (F.col("title_place") * 10).alias("ord"))
+    alone = titles.select(*PASS, F.col("as_title").alias("title"), F.lit("").alias("author"), (F.col("title_rank") * 0.6 * F.col("weight")).alias("score"), "reason", none.alias("author_confidence"), (F.col("title_place") * 10).alias("ord"))
 
     pairs = titles.join(authors, PASS).where(F.col("a.cand_no") != F.col("cand_no"))
     score = F.col("title_rank") * 0.55 * F.col("weight") + F.col("a.author_rank") * 0.45
@@ -109,14 +111,14 @@ def interpretations(candidates: DataFrame, cover_max: str | None = None) -> Data
     score = score + F.col("a.name") * 0.12
     score = score - F.col("name") * 0.1
     score = score - F.when(F.col("by_prefix"), 0.3).otherwise(0.0)
-    paired = pairs.select(*PASS, tidy_title(F.col("text")).alias("title"), tidy_title(F.col("a.reads_as")).alias("author"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), "reason", F.col("a.confidence").alias("author_confidence"), (F.col("title_place") * 10 + F.col("a.author_place")).alias("ord"))
+    paired = pairs.select(*PASS, F.col("as_title").alias("title"), F.col("a.as_author").alias("author"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), "reason", F.col("a.confidence").alias("author_confidence"), (F.col("title_place") * 10 + F.col("a.author_place")).alias("ord"))
 
     two = titles.where("title_place <= 2").groupBy(*PASS).agg(
         F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("y0", "title_place", "text"))).alias("parts"), F.min("title_rank").alias("least")
     )
     joined = two.where("n = 2").select(*PASS, tidy_title(F.array_join(F.col("parts.text"), " ")).alias("title"), F.lit("").alias("author"), (F.col("least") * 0.5).alias("score"), F.lit(TWO_LINES).alias("reason"), none.alias("author_confidence"), F.lit(100).alias("ord"))
 
-    named = authors.where("a.author_place <= 2").select(*PASS, F.lit("").alias("title"), tidy_title(F.col("a.reads_as")).alias("author"), (F.col("a.author_rank") * 0.35).alias("score"), F.lit(NAME_ONLY).alias("reason"), F.col("a.confidence").alias("author_confidence"), (F.col("a.author_place") + 100).alias("ord"))
+    named = authors.where("a.author_place <= 2").select(*PASS, F.lit("").alias("title"), F.col("a.as_author").alias("author"), (F.col("a.author_rank") * 0.35).alias("score"), F.lit(NAME_ONLY).alias("reason"), F.col("a.confidence").alias("author_confidence"), (F.col("a.author_place") + 100).alias("ord"))
     return alone.unionByName(paired).unionByName(joined).unionByName(named)
 
 

@@ -62,7 +62,7 @@ SELECT scan_id, item_id, round(t, 6) AS title_support, round(a, 6) AS author_sup
 
 @query(_JUDGED)
 def document_support(spark: SparkSession, folder: str) -> DataFrame:
-    docs = views.table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("scan_id"), T.tokens(F.col("text")).alias("words"), T.significant_tokens(F.split("text", "\n")[0]).alias("first"))
+    docs = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), T.tokens(F.col("text")).alias("words"), T.significant_tokens(F.split("text", "\n")[0]).alias("first"))
     none = F.array().cast("array<string>")
     evidence = docs.select("scan_id", F.array_distinct("words").alias("words"), F.when(F.col("scan_id") % 3 == 0, F.slice("first", 1, 2)).otherwise(none).alias("author_words"), F.when(F.col("scan_id") % 2 == 0, F.slice("first", 1, 4)).otherwise(none).alias("title_words"))
     items = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title"), T.tokens(F.col("text")).alias("words"), (F.col("item_id") % 50 + 1).cast("int").alias("edition_count"))
@@ -84,7 +84,7 @@ SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY shared DESC, si
 )
 def catalogue_search(spark: SparkSession, folder: str) -> DataFrame:
     first = F.array_join(T.significant_tokens(F.split("text", "\n")[0]), " ")
-    queries = views.table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("scan_id"), F.lit(1).alias("query_no"), first.alias("query"))
+    queries = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), F.lit(1).alias("query_no"), first.alias("query"))
     items = views.catalogue(spark, folder).withColumn("author_name", F.array().cast("array<string>"))
     return identify.search_catalogue(queries, items).select("scan_id", F.col("place").cast("long").alias("place"), "doc_id")
 
@@ -147,7 +147,7 @@ def ocr_texts(spark: SparkSession, folder: str) -> DataFrame:
 (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)"""
 )
 def evidence_from_reading(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.table(spark, folder, "documents").where("text is not null")
+    rows = views.documents(spark, folder)
     none = F.array().cast("array<string>")
     detections = rows.select(F.col("doc_id").alias("scan_id"), F.lit("t").alias("title"), F.lit("a").alias("author"), (F.col("doc_id") % 101).cast("int").alias("confidence"), F.lit("r").alias("reason"), none.alias("title_alternates"), none.alias("author_alternates"), F.col("text").alias("raw_text"))
     return readings.evidence_of(detections)[0].select("scan_id", F.col("line_no").cast("long").alias("line_no"), "text", "confidence")

@@ -114,7 +114,7 @@ m AS (SELECT read, known FROM r JOIN k ON {S.token_matches('read', 'known')})"""
 
 
 def _fuzzy_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    scans = views.table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("scan_id"), T.tokens(F.col("text")).alias("words"))
+    scans = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), T.tokens(F.col("text")).alias("words"))
     items = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens(F.col("text")).alias("words"))
     return scans, items
 
@@ -283,7 +283,7 @@ def detect_grouped(spark: SparkSession, folder: str) -> DataFrame:
 def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows, found = _hypotheses(spark, folder)
     found = stored(found, "hypotheses")
-    texts = views.table(spark, folder, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("scan_id"), "text")
+    texts = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), "text")
     evidence = identify.build_evidence(rows, found)
     evidence = stored(evidence, "evidence")
     return evidence, identify.build_queries(evidence, texts)

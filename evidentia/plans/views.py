@@ -16,12 +16,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where a small file came in fewer parts than there are cores; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) of the documents that have both."""
+    return spread(table(spark, folder, "documents").where("text is not null and doc_id is not null").select("doc_id", "text"))
+
+
 def lines(spark: SparkSession, folder: str, noisy: bool = False) -> DataFrame:
     """Documents as pages of lines read in two passes, with made-up places, sizes and confidences."""
     parts = F.split("text", "\n")
     if noisy:
         parts = F.concat(parts, F.array(F.get(F.array(*map(F.lit, NOISE)), F.pmod("doc_id", F.lit(len(NOISE))).cast("int"))))
-    rows = table(spark, folder, "documents").where("text is not null and doc_id is not null").select("doc_id", (F.size(parts) * 60.0).alias("page_height"), F.posexplode(parts).alias("line_no", "text"))
+    rows = documents(spark, folder).select("doc_id", (F.size(parts) * 60.0).alias("page_height"), F.posexplode(parts).alias("line_no", "text"))
     height = (F.lit(20) + (F.col("doc_id") * 7 + F.col("line_no") * 13) % 80).cast("double")
     rows = rows.select(
         F.col("doc_id").alias("scan_id"), (F.col("line_no") % 2).cast("int").alias("pass_no"), "line_no", "text", ((F.col("doc_id") * 31 + F.col("line_no") * 17) % 101).cast("double").alias("confidence"), height.alias("height"), "page_height"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import htmltext, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, tokencounts
+from evidentia.llm import htmltext, importance, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, tokencounts, trie
 from evidentia.llm.shared import materialize, scratch_dir, table
 
 
@@ -110,6 +110,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_features, weight, score, rank) per row of ``documents``, drawn towards the texts of ``benchmark``.
+
+    Null and wordless texts have no features, weight 0 and no rank. Equal scores go to the smaller id, null ids last; repeated rows are ranked
+    each. Texts are counted whole. No rows give no rows.
+    """
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node of the trie of all rebuilt ``conversations``: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
+
+    Null roles and texts are empty, null turns come first, rows without a conv_id are left out. No rows give no rows.
+    """
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -121,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: The sources' targets, the bisection of their multipliers and the rounding by level and cell, in one statement.
@@ -184,5 +203,70 @@ _NEAREST = """WITH v AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 10"""
 
+#: The CRC-32 of each ``w`` of a relation ``strings``, byte by byte through a table that bits give.
+_CRC = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), crcs AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda j: ('0x' || substr(hex(encode(w)), 2 * j + 1, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS crc
+  FROM (SELECT DISTINCT w FROM strings), crc_table
+)"""
+
+_RESAMPLE = (
+    r"""WITH words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+), wanted AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), strings AS (
+  SELECT w FROM words UNION SELECT w FROM wanted
+), """
+    + _CRC
+    + """, buckets AS MATERIALIZED (
+  SELECT w, crc % 10000 AS bucket FROM crcs
+), has AS (
+  SELECT bucket, count(*)::DOUBLE AS s FROM words JOIN buckets USING (w) GROUP BY 1
+), wants AS (
+  SELECT bucket, count(*)::DOUBLE AS t FROM wanted JOIN buckets USING (w) GROUP BY 1
+), gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM has) + 10000) / ((s + 1) * ((SELECT sum(t) FROM wants) + 10000))))::BIGINT AS gain FROM has LEFT JOIN wants USING (bucket)
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY 1
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+)
+
+_TRIE = (
+    """WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), strings AS (
+  SELECT DISTINCT conv_id::VARCHAR AS w FROM own
+), """
+    + _CRC
+    + """, convs AS (
+  SELECT w::BIGINT AS conv_id, w::BIGINT - w::BIGINT % 100 AS base, crc % 6 AS h FROM crcs
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, i, role, text FROM convs c JOIN own b ON b.conv_id = c.base AND b.i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > h
+), paths AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), ',') OVER w AS node, length(text) AS size FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest FROM (SELECT conv_id, arg_max(node, depth) AS node FROM paths GROUP BY 1) GROUP BY 1
+), nodes AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM paths GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT DISTINCT a.node AS parent, b.node AS child FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1
+), below AS (
+  SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), summed AS (
+  SELECT top AS node, count(*) FILTER (node NOT IN (SELECT parent FROM links)) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM below JOIN nodes USING (node) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM links l WHERE l.parent = n.node) AS n_children, n_leaves, saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes n JOIN summed USING (node) LEFT JOIN links k ON k.child = n.node LEFT JOIN nodes p ON p.node = k.parent LEFT JOIN ends e ON e.node = n.node"""
+)
+
 #: Queries that DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _NEAREST, "op4_mixing": _MIX}
+ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": _NEAREST, "op4_mixing": _MIX, "op12_importance_resampling": _RESAMPLE, "op13_conversation_trie": _TRIE}

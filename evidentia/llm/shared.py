@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +102,14 @@ def joined_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
     dealt = rows.withColumn(cell, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copied = table.withColumn(cell, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copied, [*keys, cell]).drop(cell)
+
+
+def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts of an Arrow array in a row, and where each begins (with the end after the last); null texts are empty."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    _, begins, data = texts.buffers()
+    offsets = np.frombuffer(begins, np.int64, len(texts) + 1, 8 * texts.offset) if begins else np.zeros(len(texts) + 1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]

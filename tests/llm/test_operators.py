@@ -37,7 +37,7 @@ def docs(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{FOLDER}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 

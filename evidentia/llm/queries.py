@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import htmltext, importance, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, tokencounts, trie
+from evidentia.llm import htmltext, importance, langid, minhash, mixing, neighbours, packing, secrets, simhash, spans, suffixes, tokencounts, trie
 from evidentia.llm.shared import materialize, scratch_dir, table
 
 
@@ -110,6 +110,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of ``documents``: what is left without strings of 50 bytes that a smaller doc_id has.
+
+    A null text is empty. Rows without an id come last; rows of one id take nothing from each other. Whole texts are sorted, of any length. No
+    rows give no rows.
+    """
+    found = suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) per row of ``documents``, drawn towards the texts of ``benchmark``.
 
@@ -138,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_trie": op13_conversation_trie,
 }

@@ -28,14 +28,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root}/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it again: cuts lineage, survives lost executors.
+
+    With ``tidy`` the shuffle files that the write needed go as soon as it is done; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 #: Rows of one Arrow batch: documents are long, and a Python worker holds a whole batch.
 BATCH_ROWS = 1000
 

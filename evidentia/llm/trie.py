@@ -33,61 +33,65 @@ def base_turns(conv_id: int) -> int:
     return zlib.crc32(str(conv_id).encode()) % SHARED_TURNS
 
 
-def _family_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _family_nodes(held: int):
     """Nodes of each family from rows (base, conv_id, mark, size), sorted by family, the base first, and each conversation's turns in order."""
-    schema = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int64()), ("size", pa.int64()), ("before", pa.int64()), ("members", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-    trie: dict[bytes, list] = {}
-    base = conv = None
-    shared: list[tuple[bytes, int]] = []  # the first turns of the base
-    at: tuple = ()  # the node that the conversation being laid has reached, with its parent, depth, size and length before
-
-    def visit(node: bytes, *about) -> None:
-        nonlocal at
-        trie.setdefault(node, [*about, [], []])[4].append(conv)
-        at = (node, *about)
-
-    def turn(mark: bytes, size: int) -> None:
-        node, _, depth, last, before = at
-        visit(hashlib.md5(node + mark).digest(), node, depth + 1, size, before + last)
-
-    def end() -> None:
-        if conv is not None:
-            trie.setdefault(at[0], [*at[1:], [], []])[5].append(conv)
-
-    def handed_on() -> pa.RecordBatch:
-        rows = []
-        for node, (*about, members, ends) in trie.items():
-            if base < 0 and base in ends:  # the base comes first in the stream, but is the largest id of a family below 0
-                ends.remove(base)
-                rows.append((node, *about, [], [base]))
-            rows.append((node, *about, members, ends))
-        trie.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    for batch in batches:
-        for family, c, mark, size in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if (family, c) != (base, conv):
-                end()
-                if trie and family != base:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int64()), ("size", pa.int64()), ("before", pa.int64()), ("members", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+        trie: dict[bytes, list] = {}
+        base = conv = None
+        shared: list[tuple[bytes, int]] = []  # the first turns of the base
+        at: tuple = ()  # the node that the conversation being laid has reached, with its parent, depth, size and length before
+
+        def visit(node: bytes, *about) -> None:
+            nonlocal at
+            trie.setdefault(node, [*about, [], []])[4].append(conv)
+            at = (node, *about)
+
+        def turn(mark: bytes, size: int) -> None:
+            node, _, depth, last, before = at
+            visit(hashlib.md5(node + mark).digest(), node, depth + 1, size, before + last)
+
+        def end() -> None:
+            if conv is not None:
+                trie.setdefault(at[0], [*at[1:], [], []])[5].append(conv)
+
+        def handed_on() -> pa.RecordBatch:
+            rows = []
+            for node, (*about, members, ends) in trie.items():
+                if base < 0 and base in ends:  # the base comes first in the stream, but is the largest id of a family below 0
+                    ends.remove(base)
+                    rows.append((node, *about, [], [base]))
+                rows.append((node, *about, members, ends))
+            trie.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for family, c, mark, size in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (family, c) != (base, conv):
+                    end()
+                    if trie and family != base:
+                        yield handed_on()
+                    if family != base:
+                        shared = []
+                    base, conv, own = family, c, 0
+                    visit(ROOT, None, 0, 0, 0)
+                    first = base_turns(c)
+                    if c != family:
+                        for x in shared[:first]:
+                            turn(*x)
+                if len(trie) >= held:
                     yield handed_on()
-                if family != base:
-                    shared = []
-                base, conv, own = family, c, 0
-                visit(ROOT, None, 0, 0, 0)
-                first = base_turns(c)
-                if c != family:
-                    for x in shared[:first]:
-                        turn(*x)
-            if len(trie) >= HELD:
-                yield handed_on()
-            if c == family and len(shared) < SHARED_TURNS - 1:
-                shared.append((mark, size))
-            if own >= first or c == family:
-                turn(mark, size)
-            own += 1
-    end()
-    if trie:
-        yield handed_on()
+                if c == family and len(shared) < SHARED_TURNS - 1:
+                    shared.append((mark, size))
+                if own >= first or c == family:
+                    turn(mark, size)
+                own += 1
+        end()
+        if trie:
+            yield handed_on()
+
+    return run
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     conv = F.col("conv_id").cast("long")
     turns = conversations.where("conv_id is not null").select((conv - conv % FAMILY).alias("base"), conv.alias("conv_id"), F.col("turn").alias("turn"), _mark(role, text).alias("mark"), F.length(text).cast("long").alias("size"))
     sorted_turns = turns.repartition("base").sortWithinPartitions("base", F.col("conv_id") != F.col("base"), "conv_id", F.asc_nulls_first("turn"), "mark")
-    family = materialize(sorted_turns.select("base", "conv_id", "mark", "size").mapInArrow(_family_nodes, _NODE), "trie-families")
+    family = materialize(sorted_turns.select("base", "conv_id", "mark", "size").mapInArrow(_family_nodes(HELD), _NODE), "trie-families")
 
     same = ["node", "parent", "depth", "size", "before"]
     merged = family.groupBy(*same).agg(F.sum(F.size("members")).alias("n_convs"), F.min(F.array_min("members")).alias("conv_id"))

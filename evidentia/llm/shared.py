@@ -48,6 +48,12 @@ def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def discard(table: DataFrame) -> None:
+    """Empty a table that ``materialize`` wrote, once nothing will read it any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
 #: Rows of one Arrow batch: documents are long, and a Python worker holds a whole batch.
 BATCH_ROWS = 1000
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.noise import with_noise
-from evidentia.functions.text import dedupe_key, has_author_prefix, letter_count, wordiness
+from evidentia.functions.noise import refused
+from evidentia.functions.text import clean_text, dedupe_key, has_author_prefix, letter_count, letter_ratio, normalise, wordiness, wordiness_of
+from evidentia.sources.scratch import stored
 
 PASS = ["scan_id", "pass_no"]
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
@@ -22,16 +23,27 @@ def tallest_heights(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PASS).agg(F.coalesce(F.max(F.when(reads, F.col("height"))), F.lit(0.0)).alias("page_max"))
 
 
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` with what is judged of a text, each step a column of its own: as read, and cleaned (``_clean``)."""
+    text, clean = F.col("text"), F.col("_clean")
+    rows = lines.withColumns({"_normal": normalise(text), "_clean": clean_text(text), "_letters": letter_count(text)})
+    rows = rows.withColumns({"_wordy": wordiness_of(F.col("_normal")), "_clean_normal": normalise(clean), "_lower": F.lower(clean), "_ratio": letter_ratio(clean), "_clean_letters": letter_count(clean)})
+    rows = rows.withColumns({"_noise": refused(clean, F.col("_clean_normal"), F.col("_lower"), F.col("_ratio")), "_clean_wordy": wordiness_of(F.col("_clean_normal"))})
+    return rows.drop("_normal", "_clean_normal", "_lower", "_ratio")
+
+
 def usable_lines(lines: DataFrame) -> DataFrame:
-    """The lines that can be a title or an author, cleaned, with their pass's ``page_max``."""
-    raw = lines.withColumns({"_letters": letter_count(F.col("text")), "_wordy": wordiness(F.col("text"))})
+    """The lines that can be a title or an author, cleaned, with their pass's ``page_max``.
+
+    What texts measure is written before it is filtered by: a filter would work each measure out again wherever it is named.
+    """
+    rows = stored(measured(lines), "measured-lines")
     reads = (F.col("confidence") >= 20) & (F.col("_letters") >= 3) & (F.col("_wordy") >= 0.5)
     tallest = F.coalesce(F.max(F.when(reads, F.col("height"))).over(Window.partitionBy(*PASS)), F.lit(0.0))
-    clean = with_noise(raw.withColumn("page_max", tallest)).where(~F.col("noise")).withColumn("text", F.col("clean")).drop("noise", "clean")
-    judged = clean.withColumns({"_letters": letter_count(F.col("text")), "_wordy": wordiness(F.col("text"))})
     display = (F.col("page_max") > 0) & (F.col("height") >= F.col("page_max") * 0.5)
-    keep = F.when(display, (F.col("confidence") >= 20) & (F.col("_letters") >= 4) & (F.col("_wordy") >= 0.5)).otherwise((F.col("confidence") >= 30) & (F.col("_letters") >= 3))
-    return judged.where(keep).drop("_letters", "_wordy")
+    keep = F.when(display, (F.col("confidence") >= 20) & (F.col("_clean_letters") >= 4) & (F.col("_clean_wordy") >= 0.5)).otherwise((F.col("confidence") >= 30) & (F.col("_clean_letters") >= 3))
+    kept = rows.withColumn("page_max", tallest).where(~F.col("_noise") & keep)
+    return kept.withColumn("text", F.col("_clean")).drop("_letters", "_wordy", "_clean", "_clean_letters", "_clean_wordy", "_noise")
 
 
 def pass_quality(lines: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,7 @@ Every order has a tie-break by ordinals, so that results don't depend on partiti
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.noise import refused
@@ -14,6 +13,8 @@ from evidentia.functions.text import clean_text, dedupe_key, has_author_prefix,
 from evidentia.sources.scratch import stored
 
 PASS = ["scan_id", "pass_no"]
+#: Boxes that share more than this of the smaller one are one place.
+CLASH = 0.6
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 
 
@@ -76,66 +77,77 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return keyed.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "dedupe")
 
 
-def _overlap(a: dict, b: dict) -> float:
-    width, height = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-    if width <= 0 or height <= 0:
-        return 0.0
-    areas = [max(1.0, (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])) for x in (a, b)]
-    return width * height / min(areas)
+def _overlapping(a: Column, b: Column) -> Column:
+    """Whether two boxes share more than ``CLASH`` of the smaller one, which counts as one square at least."""
+    width = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
+    height = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
 
+    def area(x: Column) -> Column:
+        return F.greatest(F.lit(1.0), (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]))
 
-def _keep_apart(lines: pd.DataFrame) -> pd.DataFrame:
-    """Of boxes that share more than 0.6 of the smaller one, in order of confidence, the first stays unless a later one says all it says."""
-    kept: list[dict] = []
-    for row in lines.sort_values(["confidence", "pass_no", "line_no"], ascending=[False, True, True], kind="stable").to_dict("records"):
-        clash = next((i for i, k in enumerate(kept) if _overlap(row["bbox"], k["bbox"]) > 0.6), None)
-        if clash is None:
-            kept.append(row)
-        elif len(row["dedupe"]) > len(kept[clash]["dedupe"]) and kept[clash]["dedupe"] in row["dedupe"]:
-            kept[clash] = row
-    kept.sort(key=lambda r: r["bbox"]["y0"])
-    out = [(r["scan_id"], r["pass_no"], r["line_no"], i) for i, r in enumerate(kept)]
-    return pd.DataFrame(out, columns=["scan_id", "pass_no", "line_no", "place"])
+    return (width > 0) & (height > 0) & (width * height / F.least(area(a), area(b)) > CLASH)
+
+
+def _kept_apart(rows: Column) -> Column:
+    """Of lines (bbox, dedupe, ...) in order of confidence: a line that shares its place with one kept before is left out, unless it says all that one says."""
+
+    def step(kept: Column, row: Column) -> Column:
+        at = F.get(F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: _overlapping(row["bbox"], F.element_at(kept, i)["bbox"])), F.lit(0))
+        none = (F.size(kept) == 0) | ~F.exists(kept, lambda k: _overlapping(row["bbox"], k["bbox"]))
+        before = F.element_at(kept, at)
+        fuller = (F.length(row["dedupe"]) > F.length(before["dedupe"])) & F.contains(row["dedupe"], before["dedupe"])
+        return F.when(none, F.array_append(kept, row)).when(fuller, F.transform(kept, lambda k, i: F.when(i + 1 == at, row).otherwise(k))).otherwise(kept)
+
+    return F.aggregate(rows, F.slice(rows, 1, 0), step)
 
 
 def merge_lines(lines: DataFrame) -> DataFrame:
-    """One line per place and wording of a scan, from the top (``place``). A scan's lines are few; each scan is folded by itself."""
+    """One line per place and wording of a scan, from the top (``place``). A scan's lines are few; each scan is folded by itself, in one array."""
     distinct = distinct_lines(lines)
-    slim = distinct.select(*PASS, "line_no", "confidence", "bbox", dedupe_key(F.col("text")).alias("dedupe"))
-    places = slim.groupBy("scan_id").applyInPandas(_keep_apart, "scan_id long, pass_no int, line_no int, place int")
+    line = F.struct((-F.col("confidence")).alias("down"), *PASS[1:], "line_no", F.col("bbox"), dedupe_key(F.col("text")).alias("dedupe"))
+    folded = distinct.groupBy("scan_id").agg(F.array_sort(F.collect_list(line)).alias("l")).select("scan_id", _kept_apart(F.col("l")).alias("kept"))
+    # kept lines stay in the order in which they came to stand where they are; from the top, the first of equals comes first
+    placed = F.array_sort(F.transform("kept", lambda k, i: F.struct(k["bbox"]["y0"].alias("y0"), i.alias("i"), k["pass_no"].alias("pass_no"), k["line_no"].alias("line_no"))))
+    places = folded.select("scan_id", F.posexplode(placed).alias("place", "k")).select("scan_id", "k.pass_no", "k.line_no", "place")
     return distinct.join(places, [*PASS, "line_no"])
 
 
-def _join_blocks(lines: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of adjacent lines: of like size, or display type stepping down in size on one centre line."""
-    blocks: list[dict] = []
-    for line in lines.sort_values(["y0", "line_no"], kind="stable").to_dict("records"):
-        h, block = line["height"], blocks[-1] if blocks else None
-        if block:
-            tail, gap = block["heights"][-1], line["y0"] - block["y1"]
-            small, large = min(h, tail), max(h, tail)
-            ratio = small / large if large else 0.0
-            beside = min(line["x1"], block["x1"]) - max(line["x0"], block["x0"]) > 0
-            alike = ratio > 0.45 and gap < 0.6 * large
-            widest = max(block["x1"] - block["x0"], line["x1"] - line["x0"])
-            centred = abs((line["x0"] + line["x1"]) / 2 - (block["x0"] + block["x1"]) / 2) < widest * 0.25
-            stepped = ratio > 0.2 and line["page_max"] > 0 and large >= line["page_max"] * 0.45 and h >= block["height"] * 0.25 and gap < small * 0.6 and centred
-            if beside and gap > -large and (alike or stepped):
-                block["heights"].append(h)
-                block["text"] += " " + line["text"]
-                block["height"] = sorted(block["heights"])[len(block["heights"]) // 2]
-                block["confidence"] = (block["confidence"] + line["confidence"]) / 2
-                for edge, pick in (("x0", min), ("y0", min), ("x1", max), ("y1", max)):
-                    block[edge] = pick(block[edge], line[edge])
-                continue
-        blocks.append({k: line[k] for k in ("scan_id", "pass_no", "text", "height", "confidence", "x0", "y0", "x1", "y1", "page_height", "page_max", "by_prefix")} | {"heights": [h]})
-    out = [(b["scan_id"], b["pass_no"], i, b["text"], b["height"], b["confidence"], b["x0"], b["y0"], b["x1"], b["y1"], (b["y0"] + b["y1"]) / 2 / (b["page_height"] or 1), b["by_prefix"], len(b["heights"]), b["page_max"]) for i, b in enumerate(blocks)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _CANDIDATE.split(", ")])
-
-
-_CANDIDATE = (
-    "scan_id long, pass_no int, cand_no int, text string, height double, confidence double, x0 double, y0 double, x1 double, y1 double, centre_y double, by_prefix boolean, n_lines int, page_max double"
-)
+def _joined(block: Column, line: Column) -> Column:
+    """A block with one line more. Its height is the upper median of its lines', its confidence the mean of what it was and the line's."""
+    heights = F.array_append(block["heights"], line["height"])
+    edges = [f(block[e], line[e]).alias(e) for e, f in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))]
+    return F.struct(
+        F.concat(block["text"], F.lit(" "), line["text"]).alias("text"), F.element_at(F.array_sort(heights), F.floor(F.size(heights) / 2).cast("int") + 1).alias("height"), ((block["confidence"] + line["confidence"]) / 2).alias("confidence"),
+        *edges, block["page_height"].alias("page_height"), block["page_max"].alias("page_max"), block["by_prefix"].alias("by_prefix"), heights.alias("heights"),
+    )
+
+
+def _continues(block: Column, line: Column) -> Column:
+    """Whether a line belongs to the block above it: of like size, or display type stepping down in size on one centre line."""
+    h, tail = line["height"], F.element_at(block["heights"], -1)
+    small, large, gap = F.least(h, tail), F.greatest(h, tail), line["y0"] - block["y1"]
+    ratio = F.when(large == 0, 0.0).otherwise(small / large)
+    beside = F.least(line["x1"], block["x1"]) - F.greatest(line["x0"], block["x0"]) > 0
+    widest = F.greatest(block["x1"] - block["x0"], line["x1"] - line["x0"])
+    centred = F.abs((line["x0"] + line["x1"]) / 2 - (block["x0"] + block["x1"]) / 2) < widest * 0.25
+    alike = (ratio > 0.45) & (gap < large * 0.6)
+    stepped = (ratio > 0.2) & (line["page_max"] > 0) & (large >= line["page_max"] * 0.45) & (h >= block["height"] * 0.25) & (gap < small * 0.6) & centred
+    return beside & (gap > -large) & (alike | stepped)
+
+
+def _blocks(rows: Column) -> Column:
+    """Lines from the top -> blocks of lines that continue each other."""
+    names = ["text", "height", "confidence", "x0", "y0", "x1", "y1", "page_height", "page_max", "by_prefix"]
+
+    def alone(line: Column) -> Column:
+        return F.struct(*[line[n].alias(n) for n in names], F.array(line["height"]).alias("heights"))
+
+    def step(blocks: Column, line: Column) -> Column:
+        last = F.element_at(blocks, -1)
+        goes_on = F.when(F.size(blocks) == 0, False).otherwise(_continues(last, line))
+        return F.when(goes_on, F.array_append(F.slice(blocks, F.lit(1), F.size(blocks) - 1), _joined(last, line))).otherwise(F.array_append(blocks, alone(line)))
+
+    return F.aggregate(rows, F.slice(F.transform(rows, alone), 1, 0), step)
 
 
 def _flat(lines: DataFrame) -> DataFrame:
@@ -147,8 +159,13 @@ def _flat(lines: DataFrame) -> DataFrame:
 
 
 def group_lines(lines: DataFrame) -> DataFrame:
-    """Candidates: blocks of usable lines, numbered from the top. The fold needs the order of lines and looks at one pass at a time."""
-    return _flat(lines).groupBy(*PASS).applyInPandas(_join_blocks, _CANDIDATE)
+    """Candidates: blocks of usable lines, numbered from the top. The fold needs the order of lines and looks at one pass at a time, in one array."""
+    names = ["y0", "line_no", "text", "height", "confidence", "x0", "x1", "y1", "page_height", "page_max", "by_prefix"]
+    passes = _flat(lines).groupBy(*PASS).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("l"))
+    b = passes.select(*PASS, F.posexplode(_blocks(F.col("l"))).alias("cand_no", "b"))
+    page = F.when(F.coalesce("b.page_height", F.lit(0.0)) == 0, 1.0).otherwise(F.col("b.page_height"))
+    kept = [F.col(f"b.{n}").alias(n) for n in ("text", "height", "confidence", "x0", "y0", "x1", "y1")]
+    return b.select(*PASS, "cand_no", *kept, ((F.col("b.y0") + F.col("b.y1")) / 2 / page).alias("centre_y"), "b.by_prefix", F.size("b.heights").alias("n_lines"), "b.page_max")
 
 
 def single_line_candidates(lines: DataFrame) -> DataFrame:
@@ -160,35 +177,22 @@ def single_line_candidates(lines: DataFrame) -> DataFrame:
     )
 
 
-def _last_pass(least: int):
-    """Per scan the pass after which an adaptive reader stops, none if it never does."""
-
-    def fold(lines: pd.DataFrame) -> pd.DataFrame:
-        passes, last = sorted(lines["pass_no"].unique()), None
-        for n, number in enumerate(passes, 1):
-            if n < least:
-                continue
-            best = lines[(lines["pass_no"] <= number) & (lines["dedupe"] != "")].sort_values(["confidence", "pass_no", "line_no"], ascending=[False, True, True], kind="stable").drop_duplicates("dedupe")
-            kept = best.merge(_keep_apart(best), on=["scan_id", "pass_no", "line_no"]) if len(best) else best
-            solid = kept[kept["solid"]]
-            if len(solid) >= 2 and solid["n_words"].sum() >= 3 and (solid["n_letters"] >= 8).any():
-                last = int(number)
-                break
-        return pd.DataFrame({"scan_id": [lines["scan_id"].iloc[0]], "last_pass": pd.array([last], "Int32")})
-
-    return fold
-
-
 def passes_until_strong(lines: DataFrame, least: int = 3) -> DataFrame:
     """The lines of the passes that an adaptive reader would run: up to the first, from ``least`` on, by which the evidence is strong.
 
     What is judged are the merged lines of the passes so far, so a line that several passes read counts once.
     """
     text = F.col("text")
-    slim = lines.select(
-        *PASS, "line_no", "confidence", "bbox", dedupe_key(text).alias("dedupe"), letter_count(text).alias("n_letters"), F.size(F.filter(F.split(text, r"\s+"), lambda w: letter_count(w) >= 2)).alias("n_words"),
-        ((F.col("confidence") >= 80) & (letter_count(text) >= 4) & (wordiness(text) >= 0.6)).alias("solid"),
-    )
-    last = slim.groupBy("scan_id").applyInPandas(_last_pass(least), "scan_id long, last_pass int")
-    return lines.join(last, "scan_id").where(F.col("last_pass").isNull() | (F.col("pass_no") <= F.col("last_pass"))).drop("last_pass")
-
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: letter_count(w) >= 2))
+    solid = (F.col("confidence") >= 80) & (letter_count(text) >= 4) & (wordiness(text) >= 0.6)
+    slim = lines.select(*PASS, "line_no", "confidence", "bbox", dedupe_key(text).alias("dedupe"), letter_count(text).alias("n_letters"), words.alias("n_words"), solid.alias("solid"))
+    slim = stored(slim, "pass-lines")
+    passes = slim.groupBy("scan_id").agg(F.sort_array(F.collect_set("pass_no")).alias("p")).select("scan_id", F.posexplode("p").alias("nth", "upto")).where(F.col("nth") + 1 >= least)
+    line = F.struct((-F.col("confidence")).alias("down"), "pass_no", "line_no", "bbox", "dedupe", "n_letters", "n_words", "solid")
+    upto = passes.join(slim.where("dedupe <> ''"), "scan_id").where(F.col("pass_no") <= F.col("upto"))
+    best = upto.groupBy("scan_id", "upto", "dedupe").agg(F.min(line).alias("l"))
+    kept = best.groupBy("scan_id", "upto").agg(F.array_sort(F.collect_list("l")).alias("l")).select("scan_id", "upto", F.filter(_kept_apart(F.col("l")), lambda k: k["solid"]).alias("k"))
+    said = F.aggregate("k", F.lit(0), lambda n, k: n + k["n_words"])
+    strong = kept.where((F.size("k") >= 2) & (said >= 3) & F.exists("k", lambda k: k["n_letters"] >= 8))
+    last = strong.groupBy("scan_id").agg(F.min("upto").alias("last_pass"))
+    return lines.join(last, "scan_id", "left").where(F.col("last_pass").isNull() | (F.col("pass_no") <= F.col("last_pass"))).drop("last_pass")

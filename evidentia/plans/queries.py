@@ -182,17 +182,31 @@ def line_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return L.distinct_lines(views.lines(spark, folder, noisy=True)).select("scan_id", "pass_no", F.col("line_no").cast("long").alias("line_no"), "confidence")
 
 
-@query()
+@query(
+    f"""WITH {S.boxed(S.NOISY)}, best AS (SELECT * FROM boxed QUALIFY row_number() OVER (PARTITION BY scan_id, dedupe ORDER BY confidence DESC, pass_no, line_no) = 1),
+f AS (SELECT scan_id, list({S.line_struct()} ORDER BY confidence DESC, pass_no, line_no) AS l FROM best GROUP BY 1), k AS (SELECT scan_id, {S.kept_apart('l')} AS k FROM f),
+u AS (SELECT scan_id, unnest(range(len(k))) AS i, unnest(k) AS r FROM k), p AS (SELECT scan_id, r.pass_no AS pass_no, r.line_no AS line_no, (row_number() OVER (PARTITION BY scan_id ORDER BY r.y0, i) - 1)::INTEGER AS place FROM u)
+SELECT scan_id, place, pass_no, line_no, text, confidence FROM p JOIN boxed USING (scan_id, pass_no, line_no)"""
+)
 def merge_lines(spark: SparkSession, folder: str) -> DataFrame:
     return L.merge_lines(views.lines(spark, folder, noisy=True)).select("scan_id", "place", "pass_no", "line_no", "text", "confidence")
 
 
-@query()
+@query(f"WITH {S.BLOCKS} SELECT scan_id, pass_no, cand_no, text, height, confidence, x0, y0, x1, y1, centre_y, by_prefix, n_lines, page_max FROM grouped_lines")
 def group_lines(spark: SparkSession, folder: str) -> DataFrame:
     return L.group_lines(views.lines(spark, folder, noisy=True))
 
 
-@query()
+_PASS_LINE = rf""", {S.letters('text')} AS n_letters, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: {S.letters('w')} >= 2)) AS n_words, confidence >= 80 AND {S.letters('text')} >= 4 AND ({S.wordiness('text')}) >= 0.6 AS solid"""
+_ADAPTIVE = f"""WITH {S.boxed(S.LINES, _PASS_LINE)}, upto AS (SELECT DISTINCT scan_id, pass_no AS upto FROM lines),
+best AS (SELECT u.upto, b.* FROM upto u JOIN boxed b ON b.scan_id = u.scan_id AND b.pass_no <= u.upto QUALIFY row_number() OVER (PARTITION BY b.scan_id, u.upto, dedupe ORDER BY confidence DESC, pass_no, line_no) = 1),
+f AS (SELECT scan_id, upto, list({S.line_struct(['n_letters', 'n_words', 'solid'])} ORDER BY confidence DESC, pass_no, line_no) AS l FROM best GROUP BY ALL),
+k AS (SELECT scan_id, upto, list_filter({S.kept_apart('l')}, lambda r: r.solid) AS k FROM f),
+s AS (SELECT scan_id, min(upto) AS last FROM k WHERE len(k) >= 2 AND list_sum(list_transform(k, lambda r: r.n_words)) >= 3 AND len(list_filter(k, lambda r: r.n_letters >= 8)) > 0 GROUP BY 1)
+SELECT scan_id, pass_no, line_no FROM lines LEFT JOIN s USING (scan_id) WHERE last IS NULL OR pass_no <= last"""
+
+
+@query(_ADAPTIVE)
 def adaptive_passes(spark: SparkSession, folder: str) -> DataFrame:
     return L.passes_until_strong(views.lines(spark, folder), least=1).select("scan_id", "pass_no", "line_no")
 
@@ -251,6 +265,10 @@ def completeness(spark: SparkSession, folder: str) -> DataFrame:
     return candidates.completeness(keys).select("scan_id", "title_key").distinct()
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("scan_id", "title", "author", "confidence", "reason", F.array_join("title_alternates", "|").alias("title_alternates"), F.array_join("author_alternates", "|").alias("author_alternates"))
+
+
 def _detections(spark: SparkSession, folder: str, grouped: bool = False) -> DataFrame:
     rows, found = _hypotheses(spark, folder, grouped)
     return candidates.detect(found, rows.groupBy("scan_id").agg(F.avg("confidence").alias("mean_confidence")))
@@ -268,13 +286,12 @@ SELECT s.scan_id, coalesce(b.title, '') AS title, coalesce(b.author, '') AS auth
 FROM scans s LEFT JOIN best b USING (scan_id) LEFT JOIN seconds USING (scan_id) LEFT JOIN ta USING (scan_id) LEFT JOIN aa USING (scan_id)"""
 )
 def detect(spark: SparkSession, folder: str) -> DataFrame:
-    found = _detections(spark, folder)
-    return found.select("scan_id", "title", "author", "confidence", "reason", F.array_join("title_alternates", "|").alias("title_alternates"), F.array_join("author_alternates", "|").alias("author_alternates"))
+    return _shown(_detections(spark, folder))
 
 
-@query()
+@query(ORACLE["detect"].replace(S.CANDIDATES, S.GROUPED_CANDIDATES))
 def detect_grouped(spark: SparkSession, folder: str) -> DataFrame:
-    return _detections(spark, folder, grouped=True)
+    return _shown(_detections(spark, folder, grouped=True))
 
 
 # ------------------------------------------------------------------ identification

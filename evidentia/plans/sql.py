@@ -171,6 +171,86 @@ CANDIDATES = f"""{USABLE}, cand AS (
 )"""
 
 
+_AREA = "greatest(1.0::DOUBLE, ({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
+
+
+def clash(a: str, b: str) -> str:
+    """Whether two boxes (structs) share more than 0.6 of the smaller one."""
+    w, h = f"(least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0))", f"(least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+    return f"({w} > 0 AND {h} > 0 AND {w} * {h} / least({_AREA.format(a)}, {_AREA.format(b)}) > 0.6::DOUBLE)"
+
+
+def kept_apart(rows: str) -> str:
+    """A list of lines (structs, most confident first) folded to those that keep their places."""
+    at = f"list_position(list_transform(acc, lambda k: {clash('k', '(x[1])')}), true)"
+    fuller = f"length((x[1]).dedupe) > length((acc[{at}]).dedupe) AND contains((x[1]).dedupe, (acc[{at}]).dedupe)"
+    swapped = f"list_transform(acc, lambda k, i: CASE WHEN i = {at} THEN x[1] ELSE k END)"
+    return f"list_reduce(list_transform({rows}, lambda r: [r]), lambda acc, x: CASE WHEN coalesce({at}, 0) = 0 THEN list_concat(acc, x) WHEN {fuller} THEN {swapped} ELSE acc END)"
+
+
+def _box_of(line: str) -> str:
+    return f"100.0::DOUBLE AS x0, {line}.y0 AS y0, length({line}.text) * {line}.height + 100.0::DOUBLE AS x1, {line}.y0 + {line}.height AS y1"
+
+
+_LINE = ["pass_no", "line_no", "confidence", "x0", "y0", "x1", "y1", "dedupe"]
+
+
+def boxed(lines: str, extra: str = "") -> str:
+    """CTE ``boxed``: lines with boxes and dedupe keys, those without a key left out."""
+    return f"""{lines}, boxed AS (
+  SELECT scan_id, pass_no, line_no, text, confidence, {_box_of('lines')}, {dedupe('text')} AS dedupe{extra} FROM lines WHERE {dedupe('text')} <> ''
+)"""
+
+
+def line_struct(extra: list[str] = ()) -> str:
+    return "{" + ", ".join(f"'{c}': {c}" for c in [*_LINE, *extra]) + "}"
+
+
+_BLOCK = ["text", "height", "confidence", "x0", "y0", "x1", "y1", "page_height", "page_max", "by_prefix"]
+
+
+def _joins() -> str:
+    """Whether the line ``x[1]`` continues the last block of ``acc``."""
+    p, q = "(acc[-1])", "(x[1])"
+    tail, gap = f"(({p}.heights)[-1])", f"({q}.y0 - {p}.y1)"
+    small, large = f"least({q}.height, {tail})", f"greatest({q}.height, {tail})"
+    ratio = f"(CASE WHEN {large} = 0 THEN 0.0::DOUBLE ELSE {small} / {large} END)"
+    beside = f"least({q}.x1, {p}.x1) - greatest({q}.x0, {p}.x0) > 0"
+    widest = f"greatest({p}.x1 - {p}.x0, {q}.x1 - {q}.x0)"
+    centred = f"abs(({q}.x0 + {q}.x1) / 2 - ({p}.x0 + {p}.x1) / 2) < {widest} * 0.25::DOUBLE"
+    alike = f"({ratio} > 0.45::DOUBLE AND {gap} < {large} * 0.6::DOUBLE)"
+    stepped = f"({ratio} > 0.2::DOUBLE AND {q}.page_max > 0 AND {large} >= {q}.page_max * 0.45::DOUBLE AND {q}.height >= {p}.height * 0.25::DOUBLE AND {gap} < {small} * 0.6::DOUBLE AND {centred})"
+    return f"{beside} AND {gap} > -{large} AND ({alike} OR {stepped})"
+
+
+def _joined() -> str:
+    p, q = "(acc[-1])", "(x[1])"
+    heights = f"list_append({p}.heights, {q}.height)"
+    new = {
+        "text": f"{p}.text || ' ' || {q}.text", "height": f"list_sort({heights})[len({heights}) // 2 + 1]", "confidence": f"({p}.confidence + {q}.confidence) / 2", "x0": f"least({p}.x0, {q}.x0)", "y0": f"least({p}.y0, {q}.y0)",
+        "x1": f"greatest({p}.x1, {q}.x1)", "y1": f"greatest({p}.y1, {q}.y1)", "page_height": f"{p}.page_height", "page_max": f"{p}.page_max", "by_prefix": f"{p}.by_prefix", "heights": heights,
+    }
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in new.items()) + "}"
+
+
+#: Blocks of usable lines, numbered from the top.
+BLOCKS = f"""{USABLE}, flat AS (
+  SELECT u.scan_id, u.pass_no, u.line_no, u.text, u.height, u.confidence, {_box_of('r').replace('r.height', 'u.height')}, u.page_height, u.page_max, {has_prefix('u.text')} AS by_prefix
+  FROM usable u JOIN lines r ON u.scan_id = r.scan_id AND u.pass_no = r.pass_no AND u.line_no = r.line_no
+), stacks AS (
+  SELECT scan_id, pass_no, list([{{{', '.join(f"'{c}': {c}" for c in _BLOCK)}, 'heights': [height]}}] ORDER BY y0, line_no) AS l FROM flat GROUP BY ALL
+), folded AS (
+  SELECT scan_id, pass_no, list_reduce(l, lambda acc, x: CASE WHEN {_joins()} THEN list_concat(acc[1:len(acc) - 1], [{_joined()}]) ELSE list_concat(acc, x) END) AS blocks FROM stacks
+), blocks AS (
+  SELECT scan_id, pass_no, unnest(range(len(blocks))) AS cand_no, unnest(blocks) AS b FROM folded
+), grouped_lines AS (
+  SELECT scan_id, pass_no, cand_no, {', '.join(f'b.{c} AS {c}' for c in _BLOCK)}, (b.y0 + b.y1) / 2 / CASE WHEN b.page_height = 0 THEN 1 ELSE b.page_height END AS centre_y, len(b.heights) AS n_lines FROM blocks
+)"""
+GROUPED_CANDIDATES = f"""{BLOCKS}, cand AS (
+  SELECT scan_id, pass_no, cand_no, text, height, confidence, y0, centre_y, page_height, page_max, by_prefix, {name_shape('text')} AS name, {wordiness('text')} AS wordy, {letter_ratio('text')} AS ratio, {without_prefix('text')} AS reads_as FROM grouped_lines
+)"""
+
+
 def scored(page: str) -> str:
     """Candidates with scores, ranks and places, sizes measured against ``page``."""
     return rf"""{CANDIDATES}, covered AS (

@@ -52,6 +52,7 @@ SIBLINGS = 2
 #: What an element says against the text in it counts in full up to this share of the page's prose, and not at all from the second on.
 FADES = (0.5, 0.9)
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S,
@@ -156,6 +157,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         at, size, parts = 0, len(html), self._parts
+        endless: set[str] = set()  # what has no end from here on needn't be looked for again
         while at < size:
             m = _TOKEN.search(html, at)
             upto = m.start() if m else size
@@ -172,8 +174,16 @@ class Page:
             closing, attributes = m[1] or m[4], m[3] or m[6] or ""
             if tag in SKIPPED and not closing:
                 if not attributes.rstrip().endswith("/") or tag in RAW:
-                    end = _end_of(tag).search(html, at)
-                    at = end.end() if end else (size if tag != "head" else at)
+                    end = None if tag in endless else _end_of(tag).search(html, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        endless.add(tag)
+                        if tag in RAW:
+                            at = size
+                        elif tag != "head":  # what was never closed ends where a block begins or ends
+                            block = _BLOCK_TAG.search(html, at)
+                            at = block.start() if block else size
             elif tag == "br":
                 parts.append((" ", False))
             elif not closing:

@@ -100,3 +100,18 @@ def test_odd_rows_and_clashing_names(spark):
     assert sorted(r.text for r in found.collect()) == ["", "", "", PROSE, PROSE]
     assert htmltext.extract(pages).columns == ["page_id", "url", "text"]
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "math", "canvas", "audio", "video"])
+def test_what_is_never_closed_ends_at_the_next_block(tag):
+    assert htmltext.main_text(f"<article><p>{PROSE}</p><{tag}><circle>drawn<p>{PROSE}</p></article>") == f"{PROSE}\n{PROSE}"
+    assert htmltext.main_text(f"<article><p>{PROSE}</p><{tag}><p>inside</p></{tag}><p>{PROSE}</p></article>") == f"{PROSE}\n{PROSE}"
+
+
+def test_many_unclosed_heads_take_time_in_proportion():
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        htmltext.main_text("<head>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * max(took[0], 0.05)

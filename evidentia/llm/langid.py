@@ -24,8 +24,9 @@ SYMBOLS = 128
 #: Learning takes about this many documents of each language, chosen by a hash of their ids.
 SAMPLE_PER_LANGUAGE = 1000
 UNDETERMINED = "und"
-#: Four standard deviations of the cosine of unrelated vectors, and how many letters a text has to have to be refused for less.
-LEAST, ENOUGH = 4 / DIMENSIONS**0.5, 20
+#: Two standard deviations of the cosine of unrelated vectors, and how many letters a text has to have to be refused for less. Short texts of a
+#: language and those of one word over and over come as low as 2.1 deviations.
+LEAST, ENOUGH = 2 / DIMENSIONS**0.5, 20
 _PIECE, _DOCS, _COLUMNS = 1 << 19, 128, 2048
 
 
@@ -181,10 +182,12 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts and texts without a letter go. So do texts of ``ENOUGH`` letters or more whose cosine with every prototype is below ``least``,
     which is as near as unrelated vectors may come by chance: other scripts, noise, code. Shorter texts can't be told apart and stay.
-    Repeated rows stay, all columns stay, no rows give no rows.
+    Repeated rows stay, all columns stay, no rows give no rows. Where no row has a language to learn from, none can be told apart: all stay.
     """
     small_batches(docs.sparkSession)
     prototypes = learn(docs, ~held_out(id_col), text_col, lang_col, id_col)
+    if not prototypes:
+        return docs
     guess = free_name(docs, "_guess")
     found = docs.withColumn(guess, predictor(prototypes)(F.col(text_col)))
     lang, score = F.col(guess)["lang_pred"], F.col(guess)["score"]

@@ -54,3 +54,9 @@ def test_ties_go_to_the_first_language_by_name(spark):
     rows = [(i, "same words in both of them", lang) for i in range(40) for lang in ("zz", "aa")] + [(1000 + i, "same words", None) for i in range(5)]
     found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in found.collect()} == {"aa"}
+
+
+def test_a_corpus_without_languages_is_kept_whole(spark):
+    rows = [(1, "The quiet harbour woke before the bell.", None), (2, None, None), (3, "12 34", None), (3, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(repr, langid.keep_identified(docs).collect())) == sorted(map(repr, docs.collect()))

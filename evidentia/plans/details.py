@@ -80,13 +80,13 @@ def document_support(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH c AS (SELECT item_id AS doc_id, list_distinct({S.words('text')}) AS ws, len({S.words('text')}) AS size FROM benchmark), i AS (SELECT doc_id, unnest(ws) AS word FROM c),
-q AS (SELECT doc_id AS scan_id, unnest(list_distinct({S.significant_of(S.words("string_split(text, chr(10))[1]"))})) AS word FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id AS scan_id, unnest(list_distinct({S.significant_of(S.words('text'))})) AS word FROM documents WHERE text IS NOT NULL),
 h AS (SELECT scan_id, doc_id, count(*) AS shared FROM q JOIN i USING (word) GROUP BY ALL)
 SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY shared DESC, size, doc_id) AS place, doc_id FROM h JOIN c USING (doc_id) QUALIFY place <= 5"""
 )
 def catalogue_search(spark: SparkSession, folder: str) -> DataFrame:
-    first = F.array_join(T.significant_tokens(F.split("text", "\n")[0]), " ")
-    queries = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), F.lit(1).alias("query_no"), first.alias("query"))
+    words = F.array_join(T.significant_tokens(F.col("text")), " ")
+    queries = views.documents(spark, folder).select(F.col("doc_id").alias("scan_id"), F.lit(1).alias("query_no"), words.alias("query"))
     items = views.catalogue(spark, folder).withColumn("author_name", F.array().cast("array<string>"))
     return identify.search_catalogue(queries, items).select("scan_id", F.col("place").cast("long").alias("place"), "doc_id")
 
@@ -157,17 +157,17 @@ def evidence_from_reading(spark: SparkSession, folder: str) -> DataFrame:
 
 # ------------------------------------------------------------------ labels, boxes, texts
 
-_MODES = "(SELECT unnest(['auto', 'forced-off', 'forced-on']) AS mode)"
-
-
 @query(
-    f"""SELECT mode, online, CASE mode WHEN 'forced-off' THEN false WHEN 'forced-on' THEN true ELSE online END AS look_up, CASE mode WHEN 'auto' THEN 'forced-off' WHEN 'forced-off' THEN 'forced-on' ELSE 'auto' END AS pressed,
-CASE WHEN mode = 'forced-off' THEN 'Lookup: Off' WHEN online THEN 'Lookup: On · connected' WHEN mode = 'forced-on' THEN 'Lookup: On · no signal' ELSE 'Lookup: Off · offline' END AS label FROM {_MODES}, (SELECT unnest([true, false]) AS online)"""
+    """WITH c AS (SELECT o_orderkey, (['auto', 'forced-off', 'forced-on'])[(o_orderkey % 3 + 1)::INTEGER] AS mode, o_custkey % 2 = 0 AS online FROM orders)
+SELECT o_orderkey, mode, online, CASE mode WHEN 'forced-off' THEN false WHEN 'forced-on' THEN true ELSE online END AS look_up, CASE mode WHEN 'auto' THEN 'forced-off' WHEN 'forced-off' THEN 'forced-on' ELSE 'auto' END AS pressed,
+CASE WHEN mode = 'forced-off' THEN 'Lookup: Off' WHEN online THEN 'Lookup: On · connected' WHEN mode = 'forced-on' THEN 'Lookup: On · no signal' ELSE 'Lookup: Off · offline' END AS label FROM c"""
 )
 def lookup_labels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(m, o) for m in labels.LOOKUP_CYCLE for o in (True, False)], "mode string, online boolean")
+    """Orders as presses of the control: the key gives the state it was in, the customer whether there was a network."""
+    mode = F.element_at(F.array(*map(F.lit, labels.LOOKUP_CYCLE)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = views.table(spark, folder, "orders").select("o_orderkey", mode.alias("mode"), (F.col("o_custkey") % 2 == 0).alias("online"))
     mode, online = F.col("mode"), F.col("online")
-    return rows.select("mode", "online", labels.should_look_up(mode, online).alias("look_up"), labels.next_state(mode, labels.LOOKUP_CYCLE).alias("pressed"), labels.lookup_label(mode, online).alias("label"))
+    return rows.select("o_orderkey", "mode", "online", labels.should_look_up(mode, online).alias("look_up"), labels.next_state(mode, labels.LOOKUP_CYCLE).alias("pressed"), labels.lookup_label(mode, online).alias("label"))
 
 
 @query(

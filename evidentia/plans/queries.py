@@ -411,14 +411,16 @@ def lookup_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT unnest(['off', 'auto']) AS mode), k AS (SELECT unnest([true, false]) AS has_key), o AS (SELECT unnest([true, false]) AS online)
-SELECT mode, has_key, online, CASE WHEN mode = 'off' OR NOT has_key OR NOT online THEN 'ocr' ELSE 'ai' END AS reader,
-CASE WHEN mode = 'off' THEN 'AI: Off' WHEN NOT has_key THEN 'AI: No key' WHEN online THEN 'AI: On · connected' ELSE 'AI: On · no signal' END AS label FROM m, k, o"""
+    """WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'off' ELSE 'auto' END AS mode, o_custkey % 3 > 0 AS has_key, o_custkey % 2 = 0 AS online FROM orders)
+SELECT o_orderkey, mode, has_key, online, CASE WHEN mode = 'off' OR NOT has_key OR NOT online THEN 'ocr' ELSE 'ai' END AS reader, CASE WHEN mode = 'off' THEN 'auto' ELSE 'off' END AS pressed,
+CASE WHEN mode = 'off' THEN 'AI: Off' WHEN NOT has_key THEN 'AI: No key' WHEN online THEN 'AI: On · connected' ELSE 'AI: On · no signal' END AS label FROM c"""
 )
 def reader_route(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(m, k, o) for m in ("off", "auto") for k in (True, False) for o in (True, False)], "mode string, has_key boolean, online boolean")
-    given = [F.col(c) for c in rows.columns]
-    return rows.select("*", labels.choose_reader(*given).alias("reader"), labels.reader_label(*given).alias("label"))
+    """Orders as scans to be routed: the key gives the mode, the customer whether there was a key and a network."""
+    mode, key, online = F.when(F.col("o_orderkey") % 2 == 0, "off").otherwise("auto"), F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 2 == 0
+    rows = views.table(spark, folder, "orders").select("o_orderkey", mode.alias("mode"), key.alias("has_key"), online.alias("online"))
+    given = [F.col(c) for c in ("mode", "has_key", "online")]
+    return rows.select("*", labels.choose_reader(*given).alias("reader"), labels.next_state(given[0], labels.READER_CYCLE).alias("pressed"), labels.reader_label(*given).alias("label"))
 
 
 @query(

@@ -10,7 +10,7 @@ from evidentia.functions import text as T
 from evidentia.operators import cache, group, identify, library
 from evidentia.plans import sql as S
 from evidentia.plans import views
-from evidentia.plans.queries import _BOOKS, query
+from evidentia.plans.queries import _BOOKS, ORACLE, query
 from evidentia.sources import readings
 
 # ------------------------------------------------------------------ judgements
@@ -91,6 +91,36 @@ def catalogue_search(spark: SparkSession, folder: str) -> DataFrame:
     return identify.search_catalogue(queries, items).select("scan_id", F.col("place").cast("long").alias("place"), "doc_id")
 
 
+def _identified() -> str:
+    """CTE ``judged``: each scan's queries asked of the passages, the first of equal documents judged by the scan's evidence."""
+    asked, last = ORACLE["build_queries"].rsplit("SELECT scan_id, row_number()", 1)
+    rules = _JUDGED[_JUDGED.index("q AS (SELECT *, greatest(") : _JUDGED.index("SELECT scan_id, item_id, round(t, 6)")].replace("w AS (SELECT *, CASE WHEN contradicted", "judged AS (SELECT *, CASE WHEN contradicted")
+    mine = f"{S.significant_of(S.words('author'))}"
+    return f"""{asked}, qs AS (SELECT scan_id, row_number(){last}),
+read_words AS (SELECT scan_id, unnest({S.words('text')}) AS word FROM cleaned UNION SELECT scan_id, unnest(list_concat({S.words('title')}, {S.words('author')})) FROM hypotheses),
+trusted AS (SELECT scan_id, list(DISTINCT word) AS aw FROM (SELECT scan_id, unnest({mine}) AS word FROM hypotheses WHERE coalesce(author_confidence, 0) >= 60) GROUP BY 1),
+firsts AS (SELECT scan_id, {S.significant_of(S.words('arg_min(title, rank)'))} AS tw FROM hypotheses WHERE title <> '' GROUP BY 1),
+evidence AS (SELECT * REPLACE (coalesce(aw, []) AS aw, coalesce(tw, []) AS tw) FROM (SELECT scan_id, list(word) AS ws FROM read_words GROUP BY 1) LEFT JOIN trusted USING (scan_id) LEFT JOIN firsts USING (scan_id)),
+items AS (SELECT item_id, text AS title, {S.words('text')} AS f, {S.words(S.main_title('text'))} AS s, ['ana', 'stone'] AS al, item_id % 50 + 1 AS editions FROM benchmark),
+entries AS (SELECT item_id, len(f) + 2 AS size, unnest(list_distinct(list_concat(f, al))) AS word FROM items),
+sought AS (SELECT scan_id, query_no, unnest(list_distinct({S.words('query')})) AS word FROM qs),
+shared AS (SELECT scan_id, query_no, item_id, size, count(*) AS n FROM sought JOIN entries USING (word) WHERE NOT list_contains({_STOP}, word) GROUP BY ALL),
+places AS (SELECT scan_id, query_no, item_id, row_number() OVER (PARTITION BY scan_id, query_no ORDER BY n DESC, size, item_id) AS place FROM shared QUALIFY place <= 5),
+once AS (SELECT p.*, i.* EXCLUDE (item_id) FROM places p JOIN items i USING (item_id) WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY scan_id, {S.normal('title')} ORDER BY query_no, place) = 1),
+known AS (SELECT DISTINCT unnest(list_concat(f, al)) AS known FROM items),
+same AS (SELECT read, known FROM (SELECT DISTINCT word AS read FROM read_words) JOIN known ON {S.token_matches('read', 'known')}),
+matched AS (SELECT scan_id, list(DISTINCT known) AS hit FROM read_words JOIN same ON read = word GROUP BY 1),
+p AS (SELECT o.*, e.* EXCLUDE (scan_id), coalesce(hit, []) AS hit FROM once o JOIN evidence e USING (scan_id) LEFT JOIN matched USING (scan_id)),
+{rules}"""
+
+
+_SCORE = "round(t * 0.6::DOUBLE + a * 0.36::DOUBLE + least(1.0::DOUBLE, log10(editions + 1.0::DOUBLE) / 3) * 0.04::DOUBLE, {})"
+_FOUND = f"branch IS NOT NULL AND veto IS NULL AS accepted, CASE WHEN branch IS NOT NULL THEN coalesce(veto, branch) WHEN t + a = 0 THEN {S.text(identify.NOTHING)} ELSE {S.text(identify.TOO_LITTLE)} END AS reason, NOT (branch IS NOT NULL AND veto IS NULL) AND NOT contradicted AND a >= 0.6 AND la >= 6 AND t < 0.99 AS author_only"
+ORACLE["score_docs"] = f"{_identified()} SELECT scan_id, item_id AS doc_id, query_no, round(t, 6) AS title_support, round(a, 6) AS author_support, {_SCORE.format(6)} AS score, {_FOUND} FROM judged"
+ORACLE["identify_early_stop"] = f"""{_identified()}, told AS (SELECT scan_id, item_id AS doc_id, query_no, place, {_SCORE.format(12)} AS fine, {_SCORE.format(6)} AS score, {_FOUND} FROM judged),
+stops AS (SELECT *, min(CASE WHEN accepted THEN query_no END) OVER (PARTITION BY scan_id) AS stop FROM told)
+SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY accepted DESC, fine DESC, query_no, place) AS doc_rank, doc_id, query_no, accepted, score FROM stops WHERE stop IS NULL OR query_no <= stop"""
+
 # ------------------------------------------------------------------ readings as they come in
 
 

@@ -329,8 +329,8 @@ def build_queries(spark: SparkSession, folder: str) -> DataFrame:
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     evidence, queries = _evidence(spark, folder)
     catalogue = views.catalogue(spark, folder)
-    found = identify.search_catalogue(queries, catalogue).join(catalogue, "doc_id")
-    return identify.score_documents(identify.distinct_documents(found).join(evidence, "scan_id"))
+    found = identify.distinct_documents(identify.search_catalogue(queries, catalogue).join(catalogue, "doc_id"))
+    return identify.judged(found, evidence)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import edit_similarity, normalise
+from evidentia.sources.scratch import stored
 
 FUZZY = 0.7
 CONFIDENT = 60
@@ -33,11 +34,40 @@ def score_rows(truth: DataFrame, got: DataFrame) -> DataFrame:
     )
 
 
+#: The median is looked for between these quantiles, which are known to within one row in ``ACCURACY``.
+AROUND, ACCURACY = (0.499, 0.501), 10_000
+
+
 def upper_median_of(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., value): the upper median of a column per group, by position in its order; groups aren't gathered."""
-    order, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(order).alias("place"), F.count("*").over(whole).alias("n"))
-    return placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(*by, value)
+    """(by..., value): the upper median of a column of numbers per group, by position in its order; nulls don't count.
+
+    No group is sorted: a sketch of each gives two values around its middle, the rows below are counted, and only the distinct values between the two
+    are put in order. Should the rank not lie between them, the group's least and greatest value take their place.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).alias("_v"))
+    keys = [f"_g{i}" for i in range(len(by))]
+    v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+    bounds = given.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", list(AROUND), ACCURACY).alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    bounds = stored(bounds.select(*keys, (F.floor(F.col("_n") / 2) + 1).alias("_rank"), F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"), "_min", "_max"), "median-bounds")
+    other = bounds.select(*[F.col(k).alias(f"{k}_") for k in keys], "_rank", "_low", "_high", "_min", "_max")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+
+    def counted(limits: DataFrame) -> DataFrame:
+        """Rows below the limits, as one value that is null, and each value between them, with how often it stands there."""
+        met = given.join(limits, same, "inner") if keys else given.crossJoin(limits)
+        return met.where(v <= high).groupBy(*keys, "_rank", F.when(v >= low, v).alias("_v")).agg(F.count("*").alias("_n"))
+
+    def chosen(counts: DataFrame) -> DataFrame:
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
+        placed = counts.withColumns({"_upto": upto, "_before": upto - F.col("_n")})
+        return placed.where(F.col("_v").isNotNull() & (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(*keys, "_v")
+
+    found = stored(chosen(counted(other)), "medians")
+    got = found.select(*[F.col(k).alias(f"{k}__") for k in keys])
+    missed = other.join(got, [F.col(f"{k}_").eqNullSafe(F.col(f"{k}__")) for k in keys], "left_anti") if keys else (other if found.isEmpty() else other.limit(0))
+    rest = missed.withColumns({"_low": F.col("_min"), "_high": F.col("_max")})
+    every = found if missed.isEmpty() else found.unionByName(chosen(counted(rest)))
+    return every.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], F.col("_v").alias(value))
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import catalogue, frontier, group, identify, similar
+from evidentia.operators import catalogue, evaluate, frontier, group, identify, library, similar
 from evidentia.operators import lines as L
 from evidentia.plans import views
 from evidentia.sources import fallback
@@ -226,5 +226,32 @@ def test_failed_images_go_to_the_device(spark, tmp_path):
     assert all(by_kind[k].failure == v and by_kind[k].fell_back for k, v in KINDS.items() if v and k != "bad")
 
 
+# ------------------------------------------------------------------ medians and prefixes
+
+
+@pytest.mark.parametrize("around", [(0.499, 0.501), (0.1, 0.2)])
+def test_upper_median_sorts_no_group(spark, monkeypatch, around):
+    """Small, large, tied and null groups; bounds that miss the rank are made good."""
+    monkeypatch.setattr(evaluate, "AROUND", around)
+    rng = np.random.default_rng(6)
+    groups = {"one": [5.0], "two": [2.0, 1.0], "tied": [3.0] * 999 + [1.0, 2.0], "hot": rng.normal(size=20_000).tolist(), None: [-1.0, -3.0, -2.0], "even": list(map(float, range(1000)))}
+    rows = [(k, x) for k, xs in groups.items() for x in xs] + [("two", None), ("none", None)]
+    found = {r.k: r.v for r in evaluate.upper_median_of(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert found == {k: sorted(xs)[len(xs) // 2] for k, xs in groups.items()}
+    whole = evaluate.upper_median_of(spark.createDataFrame(rows, "k string, v double"), [], "v").collect()
+    every = sorted(x for xs in groups.values() for x in xs)
+    assert [r.v for r in whole] == [every[len(every) // 2]]
+
+
+def test_many_searches_are_each_search(spark):
+    rng = np.random.default_rng(8)
+    words = ["river", "Rivers", "ri", "the", "Ėmile", "of", "r", "night", "nightfall"]
+    books = spark.createDataFrame([(str(i), " ".join(rng.choice(words, int(rng.integers(1, 5)))), "Ana Stone" if i % 2 else None) for i in range(80)], "id string, title string, author string")
+    queries = ["ri", "riv an", "r", "night", "emil", "x", "nightf sto", "the the", " - ", "Rivers of"]
+    found = library.search_many(books, spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")).collect()
+    wanted = {(i, r.id) for i, q in enumerate(queries) if q != " - " for r in library.search(books, q).collect()}
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_grouping_of_a_sitting_stays_as_it_was():
     assert group.THRESHOLD == 0.85

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLIP = 0.005
@@ -76,6 +76,50 @@ def quality(image: np.ndarray) -> dict:
     return {"sharpness": sharp, "brightness": bright, "contrast": contrast, "megapixels": size, "warnings": [name for hit, name in rules if hit]}
 
 
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, path, width, height, pixels) of the image files under ``path``, RGBA bytes from the top; the JVM decodes them, what it can't read is left out.
+
+    The id is a hash of the path. Channels come as blue, green, red[, alpha], or grey alone.
+    """
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select(F.xxhash64("image.origin").alias("image_id"), F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("n"), "image.data")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pixels = []
+            for r in batch.itertuples():
+                given = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.n)
+                rgba = np.full((r.height, r.width, 4), 255, np.uint8)
+                rgba[..., : 4 if r.n == 4 else 3] = given[..., [2, 1, 0, 3]] if r.n == 4 else given[..., ::-1]
+                pixels.append(rgba.tobytes())
+            yield batch[["image_id", "path", "width", "height"]].assign(pixels=pixels)
+
+    return rows.mapInPandas(work, "image_id long, path string, width int, height int, pixels binary")
+
+
+def _shares(old: int, new: int) -> np.ndarray:
+    """By new pixel how much each old one counts in it, along one axis: the share of the new one's stretch that lies on it."""
+    edges = np.arange(new + 1) * old / new
+    low, high = np.maximum(edges[:-1, None], np.arange(old)), np.minimum(edges[1:, None], np.arange(1, old + 1))
+    return np.maximum(high - low, 0) * new / old
+
+
+def resized(images: DataFrame, longest: int) -> DataFrame:
+    """Images (image_id, width, height, pixels) scaled to a longer side of ``longest``, but by 2 at most, each pixel the mean of the area it covers."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                scale = min(longest / max(r.width, r.height), 2.0)
+                width, height = (max(1, int(n * scale + 0.5)) for n in (r.width, r.height))
+                given = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 4).astype(float)
+                across = np.einsum("ij,hjc->hic", _shares(r.width, width), given)
+                rows.append((r.image_id, width, height, np.rint(np.einsum("ij,jwc->iwc", _shares(r.height, height), across)).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "pixels"])
+
+    return images.select("image_id", "width", "height", "pixels").where("width > 0 and height > 0").mapInPandas(work, "image_id long, width int, height int, pixels binary")
+
+
 def prepare(images: DataFrame) -> DataFrame:
     """Raw RGBA images -> grey, flattened and binarised ones, with their quality. Images whose bytes don't fit their size give nulls."""
 

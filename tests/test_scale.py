@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import catalogue, evaluate, frontier, group, identify, library, similar
+from evidentia.operators import catalogue, evaluate, frontier, identify, library, similar
 from evidentia.operators import lines as L
 from evidentia.plans import views
 from evidentia.sources import fallback
@@ -253,5 +253,7 @@ def test_many_searches_are_each_search(spark):
     assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
 
 
-def test_grouping_of_a_sitting_stays_as_it_was():
-    assert group.THRESHOLD == 0.85
+def test_no_filter_works_out_what_lines_measure(spark):
+    """The text chain stands in projections only: a filter names what was written."""
+    plan = L.usable_lines(views.lines(spark, FOLDER, noisy=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count("translate") <= 2 for line in plan.splitlines() if "Filter" in line)

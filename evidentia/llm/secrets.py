@@ -33,6 +33,7 @@ COINCIDENCE, CHANGE = 0.055, 0.2
 FALSE_DISCOVERIES, FALSE_DISMISSALS = 0.001, 0.01
 _BINS, _BIN = 400, 10
 _PLACEHOLDER = "[secret]"
+_BLOCK = 128
 _SYMBOLS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -49,13 +50,16 @@ def _found(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["before"])
-        end = (start + F.length(x["match"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.cast("int").alias("start"), end.alias("end"), x["match"].alias("found")))).alias("spans"))
+    def place(x: Column, at: Column) -> Column:
+        return F.struct((at - F.length(x["match"])).cast("int").alias("start"), at.cast("int").alias("end"), x["match"].alias("found"))
 
     pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: (F.length(x["before"]) + F.length(x["match"])).cast("long")), lambda a, b: a + b)
+        return F.zip_with(pairs, F.slice(ends, F.lit(2), F.size(pairs)), place)
+
+    spans = let(pairs, placed)
     return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, spans).otherwise(empty)
 
 
@@ -109,10 +113,13 @@ def _judged(token: Column) -> Column:
     runs = (changes - (size - 1) * expected) / F.sqrt((size - 1) * expected * (1 - expected))
 
     values = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    mean = total(values) / size
-    spread = total(F.transform(values, lambda v: (v - mean) * (v - mean)))
-    lagged = total(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: (a - mean) * (b - mean)))
-    serial = lagged / F.greatest(spread, F.lit(1e-9)) * F.sqrt(size)
+
+    def correlation(values: Column, mean: Column) -> Column:
+        spread = total(F.transform(values, lambda v: (v - mean) * (v - mean)))
+        lagged = total(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: (a - mean) * (b - mean)))
+        return lagged / F.greatest(spread, F.lit(1e-9)) * F.sqrt(size)
+
+    serial = let(values, lambda values: let(total(values) / size, lambda mean: correlation(values, mean)))
 
     random = let(surprise(uniform) + surprise(F.abs(runs), sides=2) + surprise(F.abs(serial), sides=2), lambda y: y - F.log(1 + y + y * y / 2))
     share = changes / (size - 1)
@@ -133,6 +140,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _blocks(xs: Column, size: int | Column) -> Column:
+    """An array that isn't empty, dealt to arrays of ``size``, the last one shorter."""
+    size = F.lit(size).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: F.slice(xs, i * size + 1, size))
+
+
+def running(xs: Column, together: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """array<bigint> of n values from 0 up -> the n + 1 totals of its first 0 to n values, by a sum or a maximum.
+
+    A total is added to an array by copying it, so long arrays are worked on in blocks: the blocks' own totals, and the totals of
+    what stands before each. The work grows with n up to ``_BLOCK`` to the power of ``levels``.
+    """
+
+    def plain(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(together(F.element_at(s, -1), x))))
+
+    if levels == 1:
+        return plain(xs)
+
+    def blocked(blocks: Column) -> Column:
+        before = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), together)), together, levels - 1)
+        own = F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, s: F.transform(F.slice(plain(b), F.lit(2), F.size(b)), lambda v: together(s, v)))
+        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(own))
+
+    return let(xs, lambda xs: F.when(F.size(xs) > _BLOCK, let(_blocks(xs, _BLOCK), blocked)).otherwise(plain(xs)))
+
+
 def surprise(z: Column, sides: int = 1) -> Column:
     """-ln of the chance that a standard normal value is above ``z``, or, on two ``sides``, farther out (Abramowitz and Stegun 26.2.17)."""
 
@@ -145,9 +179,35 @@ def surprise(z: Column, sides: int = 1) -> Column:
     return F.greatest(F.lit(0.0), let(z, tail) - math.log(sides))
 
 
+def _untouched(found: Column, base: Column) -> Column:
+    """The matches, by start, that share no character with any span of ``base``.
+
+    A span that begins before a match's end either ends before its start or touches it: both kinds are counted along the sorted ends.
+    """
+
+    def counted(spans: Column, matches: Column, spans_first: bool) -> Column:
+        """By match how many places of spans lie before its own place, or at it where ``spans_first``."""
+        def placed(xs: Column, kind: int) -> Column:
+            return F.transform(xs, lambda x: F.struct(x.cast("long").alias("at"), F.lit(kind).alias("kind")))
+
+        events = F.array_sort(F.concat(placed(spans, 0), placed(matches, 1 if spans_first else -1)))
+
+        def count(events: Column) -> Column:
+            before = running(F.transform(events, lambda e: (e["kind"] == 0).cast("long")), lambda a, b: a + b)
+            seen = F.zip_with(events, F.slice(before, F.lit(2), F.size(events)), lambda e, n: F.struct(e["kind"].alias("kind"), n.alias("n")))
+            return F.transform(F.filter(seen, lambda e: e["kind"] != 0), lambda e: e["n"])
+
+        return let(events, count)
+
+    begun = counted(base["start"], found["end"], False)
+    ended = counted(base["end"], found["start"], True)
+    marked = F.zip_with(found, F.zip_with(begun, ended, lambda a, b: a == b), lambda f, free: F.struct(f.alias("found"), free.alias("free")))
+    return F.transform(F.filter(marked, lambda m: m["free"]), lambda m: m["found"])
+
+
 def _candidates(text: Column, base: Column) -> Column:
     """array<struct<start, end, band, bin, off>> of the long runs that no pattern's span touches."""
-    runs = F.filter(_found(text, CANDIDATE), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    runs = let(_found(text, CANDIDATE), lambda found: F.when(F.size(found) * F.size(base) > 0, _untouched(found, base)).otherwise(found))
 
     def judge(c: Column) -> Column:
         judged = _judged(c["found"])
@@ -213,6 +273,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     return found.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", _passing(F.col("candidates"), limits))).alias("spans"))
 
 
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with its spans (by start, at least one) replaced, overlapping ones by one placeholder.
+
+    Finding a place in a text reads it from its start, so the pieces between spans are taken from parts of the text, as many as a part has pieces.
+    """
+
+    def pieces(reach: Column) -> Column:
+        all_ = F.zip_with(spans, F.slice(reach, F.lit(1), F.size(spans)), lambda s, at: F.struct(at.cast("int").alias("at"), (s["start"] - at).cast("int").alias("length")))
+        return F.filter(all_, lambda p: p["length"] >= 0)
+
+    def joined(block: Column) -> Column:
+        first, last = block[0]["at"], F.element_at(block, -1)
+        part = F.substring(text, first + 1, last["at"] + last["length"] - first)
+        return let(part, lambda part: F.array_join(F.transform(block, lambda p: F.concat(F.substring(part, p["at"] - first + 1, p["length"]), F.lit(_PLACEHOLDER))), ""))
+
+    def whole(reach: Column) -> Column:
+        cut = let(pieces(reach), lambda ps: F.array_join(F.transform(_blocks(ps, F.ceil(F.sqrt(F.size(ps)))), joined), ""))
+        return F.concat(cut, F.substring(text, F.element_at(reach, -1).cast("int") + 1, F.length(text)))
+
+    return let(running(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b)), whole)
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """``docs`` with every secret in the text replaced by a placeholder, and the length column, if there is one, brought up to date.
 
@@ -224,11 +306,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     marked = scanned.withColumn(spans, F.array_sort(F.concat(base, _passing(F.col(candidates), limits))))
     text = F.col(text_col)
 
-    def cut(state: Column, s: Column) -> Column:
-        more = F.when(s["start"] >= state["at"], F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(_PLACEHOLDER))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    clean = _cut(text, F.col(spans))
     changed = F.size(spans) > 0
     cleaned = marked.withColumn(text_col, F.when(changed, clean).otherwise(text))
     if length_col in docs.columns:

@@ -45,6 +45,44 @@ def flatten(image: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.clip(np.rint(image * 160.0 / np.maximum(local, 1)), 0, 255).astype(np.uint8)
 
 
+def flatten_tiles(tiles: DataFrame, size: int, radius: int = RADIUS) -> DataFrame:
+    """``flatten`` for grey images that don't fit a row: tiles (image_id, row, col, width, height, pixels), ``size`` wide and high but at the image's
+    right and lower edge, where width and height are the image's -> the same tiles, flattened.
+
+    A tile sends each of its eight neighbours the margin of ``radius`` pixels (at most ``size``) that this one's windows reach into, so what a task holds
+    is a tile and its margin.
+    """
+    if not 0 <= radius <= size:
+        raise ValueError("a window may reach into neighbouring tiles only")
+    shape = "image_id long, row int, col int, width int, height int, y int, x int, part_height int, part_width int, pixels binary"
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for r in batch.itertuples():
+                top, left = r.row * size, r.col * size
+                grid = np.frombuffer(r.pixels, np.uint8).reshape(min(size, r.height - top), min(size, r.width - left))
+                for row in range(max(r.row - 1, 0), min(r.row + 2, -(-r.height // size))):
+                    for col in range(max(r.col - 1, 0), min(r.col + 2, -(-r.width // size))):
+                        y, x = max(row * size - radius - top, 0), max(col * size - radius - left, 0)
+                        part = grid[y : max((row + 1) * size + radius - top, 0), x : max((col + 1) * size + radius - left, 0)]
+                        if part.size:
+                            parts.append((r.image_id, row, col, r.width, r.height, top + y, left + x, *part.shape, part.tobytes()))
+            yield pd.DataFrame(parts, columns=[c.split()[0] for c in shape.split(", ")])
+
+    def joined(parts: pd.DataFrame) -> pd.DataFrame:
+        image, row, col, width, height = (int(parts[c].iloc[0]) for c in ("image_id", "row", "col", "width", "height"))
+        top, left = max(row * size - radius, 0), max(col * size - radius, 0)
+        grid = np.zeros((min((row + 1) * size + radius, height) - top, min((col + 1) * size + radius, width) - left), np.uint8)
+        for p in parts.itertuples():
+            grid[p.y - top : p.y - top + p.part_height, p.x - left : p.x - left + p.part_width] = np.frombuffer(p.pixels, np.uint8).reshape(p.part_height, p.part_width)
+        flat = flatten(grid, radius)[row * size - top :, col * size - left :][:size, :size]
+        return pd.DataFrame([(image, row, col, width, height, flat.tobytes())], columns=["image_id", "row", "col", "width", "height", "pixels"])
+
+    parts = tiles.select("image_id", "row", "col", "width", "height", "pixels").mapInPandas(spread, shape)
+    return parts.groupBy("image_id", "row", "col").applyInPandas(joined, "image_id long, row int, col int, width int, height int, pixels binary")
+
+
 def otsu(counts: np.ndarray) -> int:
     """The grey value that splits a histogram with the largest variance between the parts; the first of equals, the middle if none does."""
     n, total = counts.sum(), float((counts * np.arange(256)).sum())

@@ -108,3 +108,21 @@ def test_crop_and_schedule(spark):
 def test_bytes_that_do_not_fit_give_nulls(spark):
     rows = spark.createDataFrame([(1, 2, 2, bytearray(3)), (2, 0, 0, None)], IMAGE)
     assert [(r.grey, r.warnings) for r in imaging.prepare(rows).orderBy("image_id").collect()] == [(None, None), (None, None)]
+
+
+@pytest.mark.parametrize(("size", "radius"), [(8, 3), (8, 8), (16, 1)])
+def test_tiles_are_flattened_like_whole_images(spark, size, radius):
+    rng = np.random.default_rng(4)
+    whole = {i: rng.integers(0, 256, shape).astype(np.uint8) for i, shape in enumerate([(1, 1), (8, 8), (9, 30), (33, 17), (5, 40)])}
+    tiles = [
+        (i, y // size, x // size, p.shape[1], p.shape[0], bytearray(p[y : y + size, x : x + size].tobytes()))
+        for i, p in whole.items() for y in range(0, p.shape[0], size) for x in range(0, p.shape[1], size)
+    ]
+    found = imaging.flatten_tiles(spark.createDataFrame(tiles, "image_id long, row int, col int, width int, height int, pixels binary"), size, radius).collect()
+    assert len(found) == len(tiles)
+    for r in found:
+        expected = imaging.flatten(whole[r.image_id], radius)[r.row * size :, r.col * size :][:size, :size]
+        got = np.frombuffer(r.pixels, np.uint8).reshape(expected.shape)
+        assert np.abs(got.astype(int) - expected).max() <= 1 and (got == expected).mean() > 0.95
+    with pytest.raises(ValueError, match="neighbouring"):
+        imaging.flatten_tiles(spark.createDataFrame(tiles, "image_id long, row int, col int, width int, height int, pixels binary"), 4, 5)

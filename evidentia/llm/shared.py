@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Words are runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,17 +105,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Tables of no more rows than this, counted first, are sent to every task.
+#: Tables of no more rows and bytes than this, measured first, are sent to every task.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(table: DataFrame) -> Column:
+    """About what a row takes: eight bytes a value, sixteen an entry of an array, the bytes of strings."""
+    total = F.lit(0).cast("long")
+    for field in table.schema:
+        at = F.col(f"`{field.name}`")
+        size = F.size(at) * 16 if isinstance(field.dataType, ArrayType) else F.octet_length(at) if isinstance(field.dataType, (StringType, BinaryType)) else F.lit(0)
+        total += F.lit(8) + F.coalesce(size, F.lit(0))
+    return total
 
 
 def joined_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined with a table of one row per key, of whatever number of keys, and however many rows share a key.
 
-    A table of ``BROADCAST_ROWS`` rows at most is sent to every task. Beyond that both sides meet in cells of a key, of
-    which every one has a copy of the table's row.
+    A table of ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` at most is sent to every task. Beyond that both sides meet
+    in cells of a key, of which every one has a copy of the table's row.
     """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    held = table.select(_bytes(table).alias("bytes")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    if held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), keys)
     cell = free_name(rows, "_cell")
     dealt = rows.withColumn(cell, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

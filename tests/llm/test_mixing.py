@@ -49,11 +49,16 @@ def test_levels_keep_the_order_of_sizes(spark):
 
 def test_small_tables_join_the_same_in_cells(spark, monkeypatch):
     rows = spark.range(3000).select("id", (F.col("id") % 3).alias("key"))
-    table = spark.createDataFrame([(0, "a"), (1, "b")], "key long, value string")
+    table = spark.createDataFrame([(0, "a", [1, 2]), (1, "b" * 50, None)], "key long, value string, cells array<long>")
+    assert [r[0] for r in table.select(shared._bytes(table)).collect()] == [24 + 1 + 32, 24 + 50]
     whole = sorted(map(repr, shared.joined_small(rows, table, ["key"]).collect()))
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 1)
-    assert sorted(map(repr, shared.joined_small(rows, table, ["key"]).collect())) == whole
     assert len(whole) == 2000
+    for bound in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(shared, bound, 1)
+            joined = shared.joined_small(rows, table, ["key"])
+            assert "Broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString() and "broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(map(repr, joined.collect())) == whole
 
 
 def test_hot_level_is_dealt_to_cells(spark):

@@ -21,12 +21,16 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from evidentia.llm.minhash import _mixed, _powers
 from evidentia.llm.shared import free_name, materialize, small_batches
 
-#: A span has this many sentences and words at least. One word, or so many in turn, over and over is no passage.
+#: A span of sentences has so many of them, and so many words, at least. From this number of words on, documents that share a span nearly always
+#: share more than it; of those that share a shorter one a growing part shares nothing else (stock phrases, greetings). See the README for figures.
 SENTENCES = 2
+SENTENCE_WORDS = 15
+#: Words of a run that neither begins nor ends with a sentence; fewer words are more often a quotation, a name or a list than a copy.
 WORDS = 38
+#: One word, or so many in turn, over and over is no passage.
 REPEATING = 4
 #: Of so many runs of words in a row one is a span at least. It is below ``WORDS``, so that spans leave no gap inside a passage; with it every
-#: repeated run of WORDS + WINDOW - 1 = 49 whole words, as any passage of 51 words has, holds a span.
+#: repeated run of WORDS + WINDOW - 1 words holds a span.
 WINDOW = 12
 _BLOCK = 1 << 20
 _WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
@@ -40,11 +44,11 @@ def sentences(text: str) -> list[str]:
 
 
 def _repeats(words: list) -> bool:
-    """Whether the words are the first few over and over."""
-    return any(words[0] == words[p] and words[p:] == words[:-p] for p in range(1, REPEATING + 1))
+    """Whether the words are the first few over and over, twice at least."""
+    return any(words[0] == words[p] and words[p:] == words[:-p] for p in range(1, min(REPEATING, len(words) // 2) + 1))
 
 
-def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int]]:
+def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = SENTENCE_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end) of every span; case and white space of sentences don't count."""
     split = [x.lower().split() for x in pieces]
     digests = [xxhash.xxh64_digest(" ".join(x).encode()) for x in split]

@@ -23,7 +23,7 @@ def word_hash(word):
 
 
 def repeats(words):
-    return any(all(words[i] == words[i - p] for i in range(p, len(words))) for p in range(1, spans.REPEATING + 1))
+    return any(all(words[i] == words[i - p] for i in range(p, len(words))) for p in range(1, min(spans.REPEATING, len(words) // 2) + 1))
 
 
 def literal_spans(text):
@@ -34,7 +34,7 @@ def literal_spans(text):
     for i in range(len(pieces)):
         for j in range(i + 2, len(pieces) + 1):
             words = [text[a:b].lower().split() for a, b in pieces[i:j]]
-            if sum(map(len, words)) >= spans.WORDS:
+            if sum(map(len, words)) >= spans.SENTENCE_WORDS:
                 if not repeats([w for x in words for w in x]):
                     found.append((("sentences", *(" ".join(w) for w in words)), pieces[i][0], pieces[j - 1][1]))
                 break
@@ -98,3 +98,26 @@ def test_clashing_names(spark):
     found = spans.remove_repeated_spans(docs)
     assert found.columns == [*[c for c in docs.columns if c != "n_removed"], "n_sentences", "n_removed"]
     assert found.first().n_removed == 0
+
+
+def test_two_short_sentences_go_and_stock_phrases_stay(spark):
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+    passage = f"{prose(8)}. {prose(9)}. "
+    rows = [(i, f"{prose(30)}. {passage if i < 3 else ''}{prose(30)}. Thank you very much. See you again soon. {prose(20)}.") for i in range(6)]
+    found = {r.doc_id: r.text for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: t.replace(passage, "") if i else t for i, t in rows}
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400_000)]
+    long = " ".join(w + "." * (k % 11 == 10) for k, w in enumerate(words))
+    middle = long[1_000_000:1_001_000]
+    found = {r.doc_id: r.text for r in spans.remove_repeated_spans(spark.createDataFrame([(1, long), (2, f"Begin. {middle} end."), (3, long)], "doc_id long, text string")).collect()}
+    assert found[1] == long
+    assert len(found[2]) < 120
+    assert len(found[3]) < 120

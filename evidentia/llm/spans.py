@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from evidentia.llm.minhash import _mixed, _powers
 from evidentia.llm.shared import free_name, materialize, small_batches
@@ -37,34 +37,16 @@ _WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 
 
-def sentences(text: str) -> list[str]:
-    """The pieces of a text between ends of sentences or lines, each with the white space after it; joined they are the text."""
-    cuts = [0, *(m.end() for m in _BREAK.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
-def _repeats(words: list) -> bool:
-    """Whether the words are the first few over and over, twice at least."""
-    return any(words[0] == words[p] and words[p:] == words[:-p] for p in range(1, min(REPEATING, len(words) // 2) + 1))
+def _cuts(text: str) -> list[int]:
+    """Where sentences begin, and the end of the last one."""
+    cuts = [0, *(m.end() for m in _BREAK.finditer(text))]
+    return cuts if cuts[-1] == len(text) else [*cuts, len(text)]
 
 
-def span_hashes(pieces: list[str], least: int = SENTENCES, words: int = SENTENCE_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, end) of every span; case and white space of sentences don't count."""
-    split = [x.lower().split() for x in pieces]
-    digests = [xxhash.xxh64_digest(" ".join(x).encode()) for x in split]
-    sizes = [len(x) for x in split]
-    found, end, held = [], 0, 0
-    for start in range(len(pieces)):
-        while end < len(pieces) and (held < words or end - start < least):
-            held += sizes[end]
-            end += 1
-        if held < words or end - start < least:
-            break
-        head = (split[start] + split[start + 1])[: REPEATING + 1]
-        if (len(head) > REPEATING and head[0] not in head[1:]) or not _repeats([w for x in split[start:end] for w in x]):
-            found.append((int.from_bytes(xxhash.xxh64_digest(b"".join(digests[start:end])), "big", signed=True), start, end))
-        held -= sizes[start]
-    return found
+def sentences(text: str) -> list[str]:
+    """The pieces of a text between ends of sentences or lines, each with the white space after it; joined they are the text."""
+    cuts = _cuts(text)
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _lowered(text: str) -> str:
@@ -94,36 +76,93 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(begins)
 
 
-def run_hashes(text: str, words: int = WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, begin and end (of the white space after it) of the chosen runs of ``words`` words, in order; they may overlap."""
-    hashes, begins = _words(text)
-    n = len(hashes) - words + 1
-    if n < window:
+def _one_over_and_over(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs of words are the first few of them over and over; runs have twice ``REPEATING`` words at least."""
+    found = np.zeros(len(starts), bool)
+    for p in range(1, REPEATING + 1):
+        odd = ~found & (hashes[starts] == hashes[starts + p]) & (hashes[ends - 1] == hashes[ends - 1 - p])
+        for i in np.flatnonzero(odd).tolist():
+            found[i] = np.array_equal(hashes[starts[i] + p : ends[i]], hashes[starts[i] : ends[i] - p])
+    return found
+
+
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def span_hashes(hashes: np.ndarray, first: np.ndarray, least: int = SENTENCES, words: int = SENTENCE_WORDS) -> Spans:
+    """Hash, first sentence and end of every span, from the hashes of a text's words and the number of each sentence's first word (with the end after the last).
+
+    What is hashed are the words, and which of them begin a sentence.
+    """
+    n = len(first) - 1
+    start = np.arange(n)
+    end = np.maximum(start + least, np.searchsorted(first, first[:-1] + words))
+    start, end = start[end <= n], end[end <= n]
+    marked = hashes.copy()
+    marked[first[:-1][first[:-1] < first[1:]]] ^= np.uint64(0x9E3779B97F4A7C15)
+    powers, inverse = _powers(1 << max(12, len(marked).bit_length()))
+    run = np.zeros(len(marked) + 1, np.uint64)
+    np.cumsum(marked * powers[: len(marked)], out=run[1:])
+    a, b = first[start], first[end]
+    told = ~_one_over_and_over(hashes, a, b)
+    return _mixed((run[b] - run[a]) * inverse[a])[told].view(np.int64), start[told], end[told]
+
+
+def _sliding(values: np.ndarray, window: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of every ``window`` values in a row, by doubling."""
+    size = 1
+    while size * 2 <= window:
+        values, size = of(values[:-size], values[size:]), size * 2
+    return of(values[: len(values) - (window - size)], values[window - size :])
+
+
+def _runs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The value of every run of ``words`` words as a number whose digits are the words' hashes, put together from shorter runs."""
+    value, size, power = hashes, 1, 0xD6E8FEB86659FD93
+    for bit in bin(words)[3:]:
+        value = value[:-size] * np.uint64(power) + value[size:]
+        size, power = size * 2, power * power % 2**64
+        if bit == "1":
+            value = value[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[size:]
+            size, power = size + 1, power * 0xD6E8FEB86659FD93 % 2**64
+    return value
+
+
+def run_hashes(hashes: np.ndarray, words: int = WORDS, window: int = WINDOW) -> Spans:
+    """Hash, first word and end of the chosen runs of ``words`` words, in order; they may overlap."""
+    if len(hashes) - words + 1 < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs = np.zeros(n, np.uint64)
-    for k in range(words):
-        runs = runs * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
-    runs = _mixed(runs)
-    least = np.lib.stride_tricks.sliding_window_view(runs, window).min(axis=1)
+    runs = _mixed(_runs(hashes, words))
     # a run is chosen if it is the least of any of the windows that hold it, ties too
-    most = np.lib.stride_tricks.sliding_window_view(np.pad(least, window - 1), window).max(axis=1)
+    most = _sliding(np.pad(_sliding(runs, window, np.minimum), window - 1), window, np.maximum)
     chosen = np.flatnonzero(most == runs)
-    # only a run that looks so at its begin and in its middle can repeat itself
-    middle = chosen + words // 2
-    odd = np.zeros(len(chosen), bool)
-    for p in range(1, REPEATING + 1):
-        odd |= (hashes[chosen] == hashes[chosen + p]) & (hashes[middle] == hashes[middle + p])
-    if odd.any():
-        chosen = chosen[[not (x and _repeats(hashes[i : i + words].tolist())) for i, x in zip(chosen, odd, strict=True)]]
-    return runs[chosen].view(np.int64), begins[chosen], np.append(begins, len(text))[chosen + words]
+    chosen = chosen[~_one_over_and_over(hashes, chosen, chosen + words)]
+    return runs[chosen].view(np.int64), chosen, chosen + words
+
 
+def spans_of(text: str, cuts: list[int]) -> Spans:
+    """Hash, begin and end (of the white space after it) of every span of a text whose sentences lie between ``cuts``; case and white space don't count."""
+    hashes, begins = _words(text)
+    bounds = np.array(cuts)
+    told, start, end = span_hashes(hashes, np.searchsorted(begins, bounds))
+    run, head, tail = run_hashes(hashes)
+    begins = np.append(begins, len(text))
+    return np.concatenate([told, run]), np.concatenate([bounds[start], begins[head]]), np.concatenate([bounds[end], begins[tail]])
+
+
+_FOUND = StructType([StructField("hashes", ArrayType(LongType())), StructField("inside", BooleanType())])
 
-@F.arrow_udf(ArrayType(LongType()))
+
+@F.arrow_udf(_FOUND)
 def _hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """A text's distinct span hashes."""
+    """A text's distinct span hashes, and whether it has any of them twice."""
     for batch in texts:
-        rows = [np.unique(np.concatenate([np.array([h for h, _, _ in span_hashes(sentences(x or ""))], np.int64), run_hashes(x or "")[0]])) for x in batch.to_pylist()]
-        yield pa.array(rows, pa.list_(pa.int64()))
+        rows, inside = [], []
+        for text in batch.to_pylist():
+            every = spans_of(text or "", _cuts(text or ""))[0]
+            rows.append(np.unique(every))
+            inside.append(len(rows[-1]) < len(every))
+        yield pa.StructArray.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(inside, pa.bool_())], ["hashes", "inside"])
 
 
 _CLEANED = StructType([StructField("text", StringType()), StructField("sentences", LongType()), StructField("removed", LongType())])
@@ -131,23 +170,30 @@ _CLEANED = StructType([StructField("text", StringType()), StructField("sentences
 
 @F.arrow_udf(_CLEANED)
 def _without(texts: pa.Array, repeated: pa.Array) -> pa.Array:
-    """Texts without what repeated spans cover, and spans that stood in the same text before; a sentence that lost a word counts as removed."""
+    """Texts without what repeated spans cover, and spans that stood in the same text before; a sentence that lost a word counts as removed.
+
+    Null instead of repeated spans says that the text has none of either kind.
+    """
     cleaned, counts, removed = [], [], []
-    for text, hashes in zip(texts.to_pylist(), repeated.to_pylist(), strict=True):
-        pieces = sentences(text or "")
-        cuts = np.cumsum([0, *map(len, pieces)])
-        known, gone = set(hashes or ()), np.zeros(len(text or "") + 1, np.int32)
-        seen = set()
-        for h, start, end in [*((h, cuts[a], cuts[b]) for h, a, b in span_hashes(pieces)), *zip(*(x.tolist() for x in run_hashes(text or "")), strict=True)]:
-            if h in known or h in seen:
-                gone[start] += 1
-                gone[end] -= 1
-            seen.add(h)
-        lost = np.cumsum(gone[:-1]) > 0
+    for text, known in zip(texts.to_pylist(), repeated.to_pylist(), strict=True):
+        cuts = _cuts(text or "")
+        counts.append(len(cuts) - 1)
+        if known is None or not text:
+            cleaned.append(text)
+            removed.append(0)
+            continue
+        told, begins, ends = spans_of(text, cuts)
+        gone = np.isin(told, np.array(known, np.int64))
+        # of a span that stands in the text more than once the earliest stays, unless another document was first
+        order = np.lexsort((begins, told))
+        gone[order[1:]] |= told[order[1:]] == told[order[:-1]]
+        edge = np.zeros(len(text) + 1, np.int32)
+        np.add.at(edge, begins[gone], 1)
+        np.add.at(edge, ends[gone], -1)
+        lost = np.cumsum(edge[:-1]) > 0
         edges = np.flatnonzero(np.diff(lost, prepend=True, append=True)).tolist()
         cleaned.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if lost.any() else text)
-        counts.append(len(pieces))
-        removed.append(int(np.count_nonzero(np.logical_or.reduceat(lost, cuts[:-1]))) if pieces else 0)
+        removed.append(int(np.count_nonzero(np.logical_or.reduceat(lost, cuts[:-1]))))
     return pa.StructArray.from_arrays([pa.array(cleaned, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["text", "sentences", "removed"])
 
 
@@ -166,12 +212,15 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     unknown, document, spans, cleaned = (free_name(docs, x) for x in ("_unknown", "_document", "_spans", "_cleaned"))
     ids = [c.alias(n) for c, n in zip(_document(id_col, text_col), (unknown, document), strict=True)]
-    runs = materialize(docs.select(*ids, _hashes(F.col(text_col)).alias(spans)), "spans").select(unknown, document, F.explode(spans).alias("h"))
+    held = materialize(docs.select(*ids, _hashes(F.col(text_col)).alias(spans)), "spans")
+    runs = held.select(unknown, document, F.explode(f"{spans}.hashes").alias("h"))
     known = F.min(F.when(~F.col(unknown), F.col(document)))
     first = runs.groupBy("h").agg(known.alias("known"), F.min(document).alias("other"), F.count("*").alias("n")).where("n > 1")
     first = first.select("h", F.col("known").isNull().alias("first_unknown"), F.coalesce("known", "other").alias("first"))
     later = runs.join(first, "h").where((F.col(unknown) != F.col("first_unknown")) | (F.col(document) != F.col("first")))
-    covered = later.groupBy(unknown, document).agg(F.collect_set("h").alias(spans))
+    # a document that repeats itself alone has an empty list
+    inside = held.where(f"{spans}.inside").select(unknown, document, F.lit(None).cast("long").alias("h"))
+    covered = later.select(unknown, document, "h").unionByName(inside).groupBy(unknown, document).agg(F.collect_set("h").alias(spans))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], *ids).join(covered, [unknown, document], "left")
     rows = rows.withColumn(cleaned, _without(F.col(text_col), F.col(spans)))

@@ -56,7 +56,7 @@ def _plain_letters() -> tuple[str, str]:
 def normalise(text: Column) -> Column:
     """Without accents, in lower case, anything but letters and digits one space; see ``normalise_all`` for ligatures."""
     accented = F.translate(F.regexp_replace(text, r"[\u0300-\u036F]", ""), *_plain_letters())
-    bare = F.when(text.rlike(r"[^\x00-\x7F]"), accented).otherwise(text)
+    bare = F.when(F.octet_length(text) != F.length(text), accented).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -107,20 +107,37 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return let(normalise(a), lambda x: let(normalise(b), lambda y: alike(x, y)))
 
 
+def count_of(text: Column, kind: str) -> Column:
+    """How many characters of a class (``\\p{L}``, ``a-z``) a text has: what is left without the others, as counting matches would build an array of them."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+
+
 def letter_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+    return count_of(text, r"\p{L}")
+
+
+#: White space besides the space itself.
+_ODD = r"\t\n\f\r" + SPACE[3:-1]
+
+
+def _unusual(text: Column) -> Column:
+    """What a text has besides letters and printable ASCII; mostly nothing, so that rarer classes are looked for in what is short."""
+    return F.regexp_replace(text, r"[ -~\p{L}]+", "")
+
+
+def _solid(text: Column) -> Column:
+    """How many characters are no white space."""
+    return F.length(F.replace(text, F.lit(" "), F.lit(""))) - count_of(_unusual(text), _ODD)
 
 
 def letter_ratio(text: Column) -> Column:
     """Letters among the characters that are no white space; 0 if there are none."""
-    solid = F.length(text) - F.regexp_count(text, F.lit(SPACE))
-    return F.when(solid == 0, 0.0).otherwise(letter_count(text) / solid)
+    return F.when(text.isNotNull(), F.coalesce(F.try_divide(letter_count(text), _solid(text)), F.lit(0.0)))
 
 
 def upper_share(text: Column) -> Column:
     """Capitals among the letters; 0 if there are none."""
-    letters = letter_count(text)
-    return F.when(letters == 0, 0.0).otherwise(F.regexp_count(text, F.lit(r"\p{Lu}")) / letters)
+    return F.when(text.isNotNull(), F.coalesce(F.try_divide(count_of(text, r"\p{Lu}"), letter_count(text)), F.lit(0.0)))
 
 
 def is_mostly_upper(text: Column) -> Column:
@@ -128,8 +145,8 @@ def is_mostly_upper(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    odd = "[" + SPACE[1:-1].replace(r"\s", r"\t\n\f\r") + "]"
-    return F.trim(F.regexp_replace(text, f" ?{odd}{SPACE}*| {{2,}}{SPACE}*", " "))
+    full = F.regexp_replace(text, f" ?[{_ODD}]{SPACE}*| {{2,}}{SPACE}*", " ")
+    return F.trim(F.when(F.contains(text, F.lit("  ")) | _unusual(text).rlike(f"[{_ODD}]"), full).otherwise(text))
 
 
 def tidy_title(text: Column) -> Column:
@@ -148,8 +165,11 @@ def tidy_title(text: Column) -> Column:
 
 def wordiness_of(normal: Column) -> Column:
     """Share of the words of a normalised text that read like words rather than scraps: two letters or more, and a vowel or a letter that carries a syllable."""
-    words = F.regexp_count(normal, F.lit("[^ ]+"))
-    like = F.regexp_count(F.concat(F.lit(" "), normal), F.lit(f" (?=[^ ]{{2}})[^ ]*?{VOWELS[:-1]}{SYLLABIC[1:]}"))
+    gaps = F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit("")))
+    words = F.when(normal == "", 0).otherwise(gaps + 1)
+    # each such word's begin becomes a mark that no normalised text holds, and the marks are counted
+    marked = F.regexp_replace(F.concat(F.lit(" "), normal), f" (?=[^ ]{{2}})[^ ]*?{VOWELS[:-1]}{SYLLABIC[1:]}", "|")
+    like = F.length(marked) - F.length(F.replace(marked, F.lit("|"), F.lit("")))
     return F.coalesce(F.try_divide(like, words), F.lit(0.0))
 
 
@@ -168,7 +188,8 @@ def join_spaced_letters(text: Column, repair: bool = False) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Without scanning debris, quotes made plain, white space collapsed."""
-    plain = F.translate(F.regexp_replace(text, r"[|_~^`]+", " "), "“”„‘’", "\"\"\"''")
+    bare = F.regexp_replace(text, r"[|_~^`]+", " ")
+    plain = F.when(F.octet_length(bare) != F.length(bare), F.translate(bare, "“”„‘’", "\"\"\"''")).otherwise(bare)
     return collapse(plain)
 
 
@@ -190,13 +211,15 @@ def _capital_words(bare: Column) -> Column:
 
 def name_shape_of(bare: Column) -> Column:
     """``name_shape`` of a text that is trimmed and has no author prefix."""
-    n = F.regexp_count(bare, F.lit(f"[^{SPACE[1:-1]}]+"))
+    spaced = F.when(_unusual(bare).rlike(f"[{_ODD}]"), F.regexp_replace(bare, f"[{_ODD}]", " ")).otherwise(bare)
+    many = spaced.rlike("[^ ]++(?: ++[^ ]++){5}")
+    n = F.regexp_count(spaced, F.lit("[^ ]+"))
     score = F.coalesce(F.try_divide(_capital_words(bare), n), F.lit(0.0)) * 0.5
     score = score + F.when(n.between(2, 4), 0.3).otherwise(0.0)
     score = score + F.when(bare.rlike(r"\p{Lu}\."), 0.2).otherwise(0.0)
     score = score + F.when(bare.rlike(jvm(PARTICLES)), 0.05).otherwise(0.0)
     score = score - F.when(bare.rlike(jvm(FUNCTION_WORDS)), 0.25).otherwise(0.0)
-    return F.when((n < 1) | (n > 5), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return F.when(many | (n < 1), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def name_shape(text: Column) -> Column:
@@ -276,7 +299,7 @@ def main_title(title: Column) -> Column:
 
 
 def dominant_script(text: Column) -> Column:
-    cyrillic, latin = F.regexp_count(text, F.lit(r"\p{IsCyrillic}")), F.regexp_count(text, F.lit(r"\p{IsLatin}"))
+    cyrillic, latin = count_of(text, r"\p{IsCyrillic}"), count_of(text, r"\p{IsLatin}")
     return F.when((cyrillic == 0) & (latin == 0), "other").when(cyrillic >= latin, "cyrillic").otherwise("latin")
 
 

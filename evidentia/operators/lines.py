@@ -25,26 +25,30 @@ def tallest_heights(lines: DataFrame) -> DataFrame:
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` with what is judged of a text, each step a column of its own: as read, and cleaned (``_clean``)."""
+    """``lines`` with what is judged of a text, each step a column of its own, and the text cleaned (``_clean``).
+
+    Cleaning changes neither letters nor what is left of a text in its normal form, so these are worked out once for both.
+    """
     text, clean = F.col("text"), F.col("_clean")
     rows = lines.withColumns({"_normal": normalise(text), "_clean": clean_text(text), "_letters": letter_count(text)})
-    rows = rows.withColumns({"_wordy": wordiness_of(F.col("_normal")), "_clean_normal": normalise(clean), "_lower": F.lower(clean), "_ratio": letter_ratio(clean), "_clean_letters": letter_count(clean)})
-    rows = rows.withColumns({"_noise": refused(clean, F.col("_clean_normal"), F.col("_lower"), F.col("_ratio")), "_clean_wordy": wordiness_of(F.col("_clean_normal"))})
-    return rows.drop("_normal", "_clean_normal", "_lower", "_ratio")
+    rows = rows.withColumns({"_wordy": wordiness_of(F.col("_normal")), "_lower": F.lower(clean), "_ratio": letter_ratio(clean)})
+    rows = rows.withColumn("_noise", refused(clean, F.col("_normal"), F.col("_lower"), F.col("_ratio")))
+    return rows.drop("_normal", "_lower", "_ratio")
 
 
 def usable_lines(lines: DataFrame) -> DataFrame:
     """The lines that can be a title or an author, cleaned, with their pass's ``page_max``.
 
-    What texts measure is written before it is filtered by: a filter would work each measure out again wherever it is named.
+    What texts measure is dealt out by scan before it is filtered by: a filter would work each measure out again wherever it is named, and no window
+    or group of a scan or a pass that follows is dealt out again.
     """
-    rows = stored(measured(lines), "measured-lines")
+    rows = measured(lines).drop("text").repartition("scan_id")
     reads = (F.col("confidence") >= 20) & (F.col("_letters") >= 3) & (F.col("_wordy") >= 0.5)
     tallest = F.coalesce(F.max(F.when(reads, F.col("height"))).over(Window.partitionBy(*PASS)), F.lit(0.0))
     display = (F.col("page_max") > 0) & (F.col("height") >= F.col("page_max") * 0.5)
-    keep = F.when(display, (F.col("confidence") >= 20) & (F.col("_clean_letters") >= 4) & (F.col("_clean_wordy") >= 0.5)).otherwise((F.col("confidence") >= 30) & (F.col("_clean_letters") >= 3))
+    keep = F.when(display, (F.col("confidence") >= 20) & (F.col("_letters") >= 4) & (F.col("_wordy") >= 0.5)).otherwise((F.col("confidence") >= 30) & (F.col("_letters") >= 3))
     kept = rows.withColumn("page_max", tallest).where(~F.col("_noise") & keep)
-    return kept.withColumn("text", F.col("_clean")).drop("_letters", "_wordy", "_clean", "_clean_letters", "_clean_wordy", "_noise")
+    return kept.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in lines.columns], "page_max")
 
 
 def pass_quality(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -54,6 +58,16 @@ def pass_quality(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     return lines.groupBy(*(by or PASS)).agg(F.least(F.lit(1.0), F.sum(good) / F.sum(weight)).alias("quality"))
 
 
+def pass_measures(lines: DataFrame) -> DataFrame:
+    """Per pass its page's height (``page``), ``page_max`` as of ``tallest_heights`` and ``quality`` as of ``pass_quality``, in one go over its lines."""
+    text, letters, wordy = F.col("text"), F.col("_letters"), F.col("_wordy")
+    rows = lines.select(*PASS, "height", "page_height", "confidence", letter_count(text).alias("_letters"), wordiness(text).alias("_wordy"))
+    reads = (F.col("confidence") >= 20) & (letters >= 3) & (wordy >= 0.5)
+    weight = F.greatest(F.lit(1), letters)
+    quality = F.least(F.lit(1.0), F.sum(weight * wordy * (F.col("confidence") / 100)) / F.sum(weight))
+    return rows.groupBy(*PASS).agg(F.greatest(F.lit(1.0), F.max("page_height")).alias("page"), F.coalesce(F.max(F.when(reads, F.col("height"))), F.lit(0.0)).alias("page_max"), quality.alias("quality"))
+
+
 def strong_evidence(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per pass whether its lines already look like a cleanly read cover (``strong``)."""
     text = F.col("text")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.operators import catalogue, evaluate, frontier, identify, library, similar
 from evidentia.operators import lines as L
-from evidentia.plans import views
+from evidentia.plans import registry, views
 from evidentia.sources import fallback
 
 FOLDER = "/root/testdata/sf0.001"
@@ -257,3 +257,28 @@ def test_no_filter_works_out_what_lines_measure(spark):
     """The text chain stands in projections only: a filter names what was written."""
     plan = L.usable_lines(views.lines(spark, FOLDER, noisy=True))._jdf.queryExecution().optimizedPlan().toString()
     assert all(line.count("translate") <= 2 for line in plan.splitlines() if "Filter" in line)
+
+
+def test_readings_are_pooled_by_numbers(spark):
+    """Long lines make 33 readings a pass: only the lines themselves are dealt out, once, and nothing is written."""
+    found = registry.QUERIES["hypothesis_pool"](spark, FOLDER)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "passes-" not in plan and "readings-" not in plan and "candidates-" not in plan
+    assert all("title" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_characters_are_counted_as_by_matches(spark):
+    """Counting by what is left gives what counting matches gave, odd spaces, marks and empty texts included."""
+    texts = ["", " ", "a", "Ab  c D　e", "\tрј x ѝ﻿", "i", "ai b ca", "12 34", "Łódź — №5", "\U0001d400 b", "one two three four five", "a b c d e f", "A B C d e", "x\x1fy z", "a\x0bb\x0cc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", T.normalise(F.col("t")))
+    like = f" (?=[^ ]{{2}})[^ ]*?{T.VOWELS[:-1]}{T.SYLLABIC[1:]}"
+    t, n, solid = F.col("t"), F.col("n"), F.length("t") - F.regexp_count("t", F.lit(T.SPACE))
+    words = F.regexp_count(t, F.lit(f"[^{T.SPACE[1:-1]}]+"))
+    odd = "[" + T.SPACE[1:-1].replace(r"\s", r"\t\n\f\r") + "]"
+    for r in rows.select(
+        "t", T.letter_count(t).alias("a"), F.regexp_count(t, F.lit(r"\p{L}")).alias("a2"), T.letter_ratio(t).alias("b"), F.when(solid == 0, 0.0).otherwise(F.regexp_count(t, F.lit(r"\p{L}")) / solid).alias("b2"),
+        T.wordiness_of(n).alias("c"), F.coalesce(F.try_divide(F.regexp_count(F.concat(F.lit(" "), n), F.lit(like)), F.regexp_count(n, F.lit("[^ ]+"))), F.lit(0.0)).alias("c2"),
+        T.collapse(t).alias("d"), F.trim(F.regexp_replace(t, f" ?{odd}{T.SPACE}*| {{2,}}{T.SPACE}*", " ")).alias("d2"), (T.name_shape_of(t) == 0).alias("e"), ((words < 1) | (words > 5)).alias("e2"),
+    ).collect():
+        assert (r.a, r.b, r.c, r.d) == (r.a2, r.b2, r.c2, r.d2), r
+        assert r.e or not r.e2, r

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TTL_MS = 30 * 24 * 3600 * 1000
+#: The time of a lookup without one, after all others.
+UNTIMED = 1 << 47
 
 
 def probe(queries: DataFrame, cached: DataFrame, now: str, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -24,33 +28,52 @@ def store(cached: DataFrame, found: DataFrame, now: str) -> DataFrame:
     return cached.join(new, "query", "left_anti").unionByName(new)
 
 
-def _fold(ttl_ms: int):
-    def fold(lookups: pd.DataFrame) -> pd.DataFrame:
-        """A lookup misses if the last miss is older than the limit; a hit doesn't make the entry younger."""
-        lookups = lookups.sort_values(["at_ms", "event_id"], kind="stable")
-        times = lookups["at_ms"].to_numpy()
-        hit = np.ones(len(times), bool)
-        i = 0
-        while i < len(times):
-            hit[i] = False
-            i = int(np.searchsorted(times, times[i] + ttl_ms, side="right"))
-        return pd.DataFrame({"event_id": lookups["event_id"], "key": lookups["key"], "hit": hit})
-
-    return fold
+def _replay(ttl_ms: int):
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (event_id, key, at_ms) in order of key and time. A lookup misses if the last miss is older than the limit; a hit doesn't make the entry younger.
+
+        All keys of a batch go one miss ahead together; of the last key the last miss is kept for the next batch.
+        """
+        last = missed = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            runs = pc.run_end_encode(batch["key"], run_end_type=pa.int32())
+            ends = runs.run_ends.to_numpy()
+            codes = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            times = batch["at_ms"].to_numpy()
+            low = int(times.min())
+            # one ascending line of all keys' times, a key's stretch being longer than its times and the limit
+            span = int(times.max()) - low + ttl_ms + 2
+            line = codes * span + (times - low)
+            at = np.concatenate([[0], ends[:-1]])
+            if runs.values[0].as_py() == last:
+                first = int(np.searchsorted(line, missed - low + ttl_ms, side="right"))
+                at = np.concatenate([[first] if first < ends[0] else [], at[1:]]).astype(np.int64)
+            hit = np.ones(len(times), bool)
+            while len(at):
+                hit[at] = False
+                following = np.searchsorted(line, line[at] + ttl_ms, side="right")
+                at = following[following < ends[codes[at]]]
+            own = np.flatnonzero(~hit[int(ends[-2]) if len(ends) > 1 else 0 :])
+            if len(own):
+                missed = int(times[(int(ends[-2]) if len(ends) > 1 else 0) + own[-1]])
+            last = runs.values[-1].as_py()
+            yield pa.RecordBatch.from_arrays([batch["event_id"], batch["key"], pa.array(hit)], names=["event_id", "key", "hit"])
+
+    return replay
 
 
 def hits(lookups: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """Lookups (event_id, key, ts) -> (event_id, key, hit), replayed in order of time for every key.
 
-    The entry's age counts from the last miss, so a key's history is a fold. A gap longer than the limit always ends an entry: histories are
-    first cut there, by a window, and the pieces are folded by themselves.
+    The entry's age counts from the last miss, so a key's history is a fold: rows are dealt and sorted by key and time once and folded as they stream by.
+    Lookups without a time come last.
     """
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = lookups.select("event_id", F.trim(F.lower("key")).alias("key"), at.alias("at_ms"))
-    order = Window.partitionBy("key").orderBy("at_ms", "event_id")
-    cut = F.when(F.col("at_ms") - F.lag("at_ms").over(order) > ttl_ms, 1).otherwise(0)
-    pieces = rows.withColumn("cut", cut).withColumn("piece", F.sum("cut").over(order))
-    return pieces.groupBy("key", "piece").applyInPandas(_fold(ttl_ms), "event_id long, key string, hit boolean")
+    at = F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(UNTIMED))
+    rows = lookups.select(F.col("event_id").cast("long").alias("event_id"), F.trim(F.lower("key")).alias("key"), at.alias("at_ms"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "at_ms", "event_id")
+    return ordered.mapInArrow(_replay(ttl_ms), "event_id long, key string, hit boolean")
 
 
 def stateful_hits(ttl_ms: int = TTL_MS):

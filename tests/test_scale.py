@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import catalogue, evaluate, frontier, identify, library, similar
+from evidentia.operators import cache, catalogue, evaluate, frontier, identify, library, similar
 from evidentia.operators import lines as L
 from evidentia.plans import registry, views
 from evidentia.sources import fallback
@@ -282,3 +282,32 @@ def test_characters_are_counted_as_by_matches(spark):
     ).collect():
         assert (r.a, r.b, r.c, r.d) == (r.a2, r.b2, r.c2, r.d2), r
         assert r.e or not r.e2, r
+
+
+def test_equal_searches_and_books_meet_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(library, "stored", lambda df, name: met.append(df.count()) or df)
+    books = spark.createDataFrame([(str(i), "River of Night", "Ana Stone") for i in range(40)], "id string, title string, author string")
+    found = library.search_many(books, spark.createDataFrame([(i, "an riv") for i in range(30)], "query_id int, query string"))
+    assert found.count() == 1200 == found.distinct().count() and met == [1]
+
+
+def test_the_cache_is_one_stream_over_sorted_keys(spark):
+    """Batches cut keys anywhere; against a fold of plain Python."""
+    rng = np.random.default_rng(3)
+    hours = {k: sorted(rng.integers(0, 300, n).tolist()) for k, n in (("a", 1), ("b", 40), ("c", 7), ("d", 100))}
+    rows = [(i * 1000 + j, k, pd.Timestamp(h * 3600, unit="s").to_pydatetime()) for i, (k, hs) in enumerate(hours.items()) for j, h in enumerate(hs)]
+    wanted = {}
+    for i, hs in enumerate(hours.values()):
+        missed = None
+        for j, h in enumerate(hs):
+            wanted[i * 1000 + j] = missed is not None and h - missed <= 30
+            missed = missed if wanted[i * 1000 + j] else h
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            hits = cache.hits(spark.createDataFrame(rows, "event_id long, key string, ts timestamp"), 30 * 3600 * 1000)
+            assert {r.event_id: r.hit for r in hits.collect()} == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in hits._jdf.queryExecution().executedPlan().toString()

@@ -311,3 +311,17 @@ def test_the_cache_is_one_stream_over_sorted_keys(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroupsInPandas" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_scans_are_not_dealt_out_by_document(spark, monkeypatch):
+    """A search by a small catalogue counts where the queries lie, and pairs whose words are matched already aren't written."""
+    items = spark.createDataFrame([(i, f"iron harvest {i}", ["Ana Stone"], 1) for i in range(20)], "doc_id long, title string, author_name array<string>, edition_count int")
+    queries = spark.createDataFrame([(s, 1, "iron harvest stone") for s in range(5)], "scan_id long, query_no int, query string")
+    found = identify.search_catalogue(queries, items)
+    assert found.count() == 25
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("doc_id" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    monkeypatch.setattr(identify, "stored", lambda *_: pytest.fail("written"))
+    none = F.array().cast("array<string>")
+    pairs = found.join(items, "doc_id").withColumns({"hit": F.array(F.lit("iron"), F.lit("harvest")), "words": F.array(F.lit("iron"), F.lit("harvest")), "author_words": none, "title_words": none})
+    assert {round(r.title_support, 3) for r in identify.score_documents(pairs).collect()} <= {0.917, 0.846}

@@ -325,3 +325,38 @@ def test_words_of_scans_are_not_dealt_out_by_document(spark, monkeypatch):
     none = F.array().cast("array<string>")
     pairs = found.join(items, "doc_id").withColumns({"hit": F.array(F.lit("iron"), F.lit("harvest")), "words": F.array(F.lit("iron"), F.lit("harvest")), "author_words": none, "title_words": none})
     assert {round(r.title_support, 3) for r in identify.score_documents(pairs).collect()} <= {0.917, 0.846}
+
+
+def test_a_small_index_is_counted_in_one_go(spark, tmp_path, monkeypatch):
+    """Nothing is written for a search that every task can do by itself; of a larger index blocks are read, with the same rows."""
+    titles = _titles(300, 4)
+    index = catalogue.write_index(spark.createDataFrame(titles, "doc_id long, title string, author_name array<string>, edition_count int"), f"{tmp_path}/index", 16)
+    rng = np.random.default_rng(5)
+    asked = [(s, 1 + s % 2, " ".join(rng.choice(["everywhere", "ana", "nothing", "the", *[f"word{i}" for i in range(40)]], int(rng.integers(0, 14))))) for s in range(60)]
+    queries = spark.createDataFrame(asked, "scan_id long, query_no int, query string")
+    with monkeypatch.context() as m:
+        m.setattr(catalogue, "stored", lambda *_: pytest.fail("written"))
+        small = catalogue.search(queries, index)
+        assert sorted(map(tuple, small.collect())) == _best(asked, titles, 5)
+    monkeypatch.setattr(catalogue, "INDEX_ROWS", 0)
+    large = catalogue.search(queries, index)
+    assert sorted(map(tuple, large.collect())) == _best(asked, titles, 5) and large.dtypes == small.dtypes
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_blocks_of_a_large_index_are_skipped(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(catalogue, "INDEX_ROWS", 0)
+    test_search_skips_blocks_and_loses_nothing(spark, tmp_path, block)
+
+
+def test_words_are_matched_once_until_accepted(spark, monkeypatch):
+    """Each round looks only for the words that no answer had before, and no pair carries a scan's words."""
+    met, matched = [], identify.fuzzy_words
+    monkeypatch.setattr(identify, "fuzzy_words", lambda read, known: met.append([r.known for r in known.collect()]) or matched(read, known))
+    items = spark.createDataFrame([(1, "Silent Harbour", ["Ana Stone"], 3), (2, "Silent Letters", ["Ana Stone"], 3)], "doc_id long, title string, author_name array<string>, edition_count int")
+    evidence = spark.createDataFrame([(1, ["silent", "lettars", "stone", "ana"], [], []), (2, ["nothing"], [], [])], "scan_id long, words array<string>, author_words array<string>, title_words array<string>")
+    queries = spark.createDataFrame([(s, n, q) for s in (1, 2) for n, q in enumerate(["harbour", "silent", "letters", "harbour stone"], 1)], "scan_id long, query_no int, query string")
+    found = frontier.ask_until_accepted(queries, evidence, lambda some: identify.search_catalogue(some, items).join(items, "doc_id"))
+    assert sorted(map(sorted, met)) == [["ana", "harbour", "silent", "stone"], ["letters"]]
+    assert {(r.scan_id, r.doc_id, r.query_no, r.accepted) for r in found.collect()} == {(1, 1, 1, False), (2, 1, 1, False), (1, 2, 2, True), (2, 2, 2, False)}
+    assert "words" not in found.columns

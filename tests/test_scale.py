@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.operators import cache, catalogue, evaluate, frontier, identify, library, similar
 from evidentia.operators import lines as L
+from evidentia.plans import queries as queries_plan
 from evidentia.plans import registry, views
 from evidentia.sources import fallback
 
@@ -360,3 +361,30 @@ def test_words_are_matched_once_until_accepted(spark, monkeypatch):
     assert sorted(map(sorted, met)) == [["ana", "harbour", "silent", "stone"], ["letters"]]
     assert {(r.scan_id, r.doc_id, r.query_no, r.accepted) for r in found.collect()} == {(1, 1, 1, False), (2, 1, 1, False), (1, 2, 2, True), (2, 2, 2, False)}
     assert "words" not in found.columns
+
+
+def test_scans_are_read_once_to_be_identified(spark, monkeypatch):
+    """Evidence and detections start from one pooling of the readings."""
+    met, pooled = [], queries_plan._hypotheses
+    monkeypatch.setattr(queries_plan, "_hypotheses", lambda *x, **k: met.append(x) or pooled(*x, **k))
+    found = registry.QUERIES["identify_scans"](spark, FOLDER)
+    detected = {r.scan_id: r for r in registry.QUERIES["detect"](spark, FOLDER).collect()}
+    rows = found.collect()
+    assert len(met) == 2 and len(rows) == len(detected)  # one of them is the detection's own
+    for r in rows:
+        d = detected[r.scan_id]
+        if not r.matched and not r.identified_author:
+            assert (r.title, r.author, r.confidence, r.reason, "|".join(r.title_alternates), "|".join(r.author_alternates)) == (d.title, d.author, d.confidence, d.reason, d.title_alternates, d.author_alternates)
+
+
+def test_a_whole_title_is_shown_where_it_was_read(spark):
+    """What is shown of a document follows from the words matched already; titles are cut only where something can be cut."""
+    items = spark.createDataFrame([(1, "Iron Harvest: A History of Fields", ["Ana Stone"], 3)], "doc_id long, title string, author_name array<string>, edition_count int")
+    read = [(1, ["iron", "harvest", "ana", "stone"]), (2, ["iron", "harvest", "histary", "of", "fields", "ana", "stone"])]
+    none = F.array().cast("array<string>")
+    evidence = spark.createDataFrame(read, "scan_id long, words array<string>").withColumns({"author_words": none, "title_words": none})
+    queries = evidence.select("scan_id", F.lit(1).alias("query_no"), F.lit("iron harvest").alias("query"))
+    scans = evidence.select("scan_id", F.lit("x").alias("title"), F.lit("").alias("author"), F.lit(20).alias("confidence"), F.lit("r").alias("reason"), none.alias("title_alternates"), none.alias("author_alternates"), F.lit("ocr").alias("source"))
+    assert {r.scan_id: r.title for r in identify.identify(scans, evidence, queries, items).collect()} == {1: "Iron Harvest", 2: "Iron Harvest: A History of Fields"}
+    cuts = spark.createDataFrame([("  Dune  ",), ("A: B",), ("Dune; x",), ("Dune — x",), ("Dune—x",), ("x",), ("",), (None,)], "t string").select(T.main_title(F.col("t")).alias("m"))
+    assert [r.m for r in cuts.collect()] == ["Dune", "A: B", "Dune", "Dune", "Dune—x", "x", "", None]

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.noise import refused
-from evidentia.functions.text import clean_text, dedupe_key, has_author_prefix, letter_count, letter_ratio, normalise, wordiness, wordiness_of
-from evidentia.sources.scratch import stored
+from evidentia.functions.text import clean_text, dedupe_key, has_author_prefix, let, letter_count, letter_ratio, normalise, wordiness, wordiness_of
 
 PASS = ["scan_id", "pass_no"]
 #: Boxes that share more than this of the smaller one are one place.
@@ -191,22 +190,38 @@ def single_line_candidates(lines: DataFrame) -> DataFrame:
     )
 
 
+def _is_strong(solid: Column, words: Column, longest: Column) -> Column:
+    return (solid >= 2) & (words >= 3) & (longest >= 8)
+
+
 def passes_until_strong(lines: DataFrame, least: int = 3) -> DataFrame:
     """The lines of the passes that an adaptive reader would run: up to the first, from ``least`` on, by which the evidence is strong.
 
-    What is judged are the merged lines of the passes so far, so a line that several passes read counts once.
+    What is judged are the merged lines of the passes so far, so a line that several passes read counts once. Lines are dealt out by scan once,
+    whatever passes they count for, and only those of scans whose lines could be strong, were all of them kept. A scan's passes are folded in turn until
+    one is strong.
     """
-    text = F.col("text")
+    text, letters = F.col("text"), F.col("_letters")
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: letter_count(w) >= 2))
-    solid = (F.col("confidence") >= 80) & (letter_count(text) >= 4) & (wordiness(text) >= 0.6)
-    slim = lines.select(*PASS, "line_no", "confidence", "bbox", dedupe_key(text).alias("dedupe"), letter_count(text).alias("n_letters"), words.alias("n_words"), solid.alias("solid"))
-    slim = stored(slim, "pass-lines")
-    passes = slim.groupBy("scan_id").agg(F.sort_array(F.collect_set("pass_no")).alias("p")).select("scan_id", F.posexplode("p").alias("nth", "upto")).where(F.col("nth") + 1 >= least)
-    line = F.struct((-F.col("confidence")).alias("down"), "pass_no", "line_no", "bbox", "dedupe", "n_letters", "n_words", "solid")
-    upto = passes.join(slim.where("dedupe <> ''"), "scan_id").where(F.col("pass_no") <= F.col("upto"))
-    best = upto.groupBy("scan_id", "upto", "dedupe").agg(F.min(line).alias("l"))
-    kept = best.groupBy("scan_id", "upto").agg(F.array_sort(F.collect_list("l")).alias("l")).select("scan_id", "upto", F.filter(_kept_apart(F.col("l")), lambda k: k["solid"]).alias("k"))
-    said = F.aggregate("k", F.lit(0), lambda n, k: n + k["n_words"])
-    strong = kept.where((F.size("k") >= 2) & (said >= 3) & F.exists("k", lambda k: k["n_letters"] >= 8))
-    last = strong.groupBy("scan_id").agg(F.min("upto").alias("last_pass"))
+    # what ``when`` guards is worked out for the lines that can be solid only
+    sure = lines.select(*PASS, "line_no", "confidence", "bbox", "text", F.when(F.col("confidence") >= 80, letter_count(text)).alias("_letters"))
+    solid = F.when(letters >= 4, wordiness(text) >= 0.6).otherwise(False)
+    sure = sure.withColumn("solid", solid).withColumns({"n_letters": F.when(F.col("solid"), letters), "n_words": F.when(F.col("solid"), words)})
+    hopeful = _is_strong(F.count_if("solid"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_letters"), F.lit(0)))
+    slim = sure.select(*PASS, "line_no", "confidence", "bbox", dedupe_key(text).alias("dedupe"), "solid", "n_letters", "n_words")
+    line = F.struct((-F.col("confidence")).alias("down"), "pass_no", "line_no", "bbox", "dedupe", "n_letters", "n_words", "solid", "hider")
+    # of lines that read the same the first in order counts, from a pass on that has one before it on it doesn't
+    before = Window.partitionBy("scan_id", "dedupe").orderBy(F.col("confidence").desc(), "pass_no", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = slim.repartition("scan_id").withColumn("hider", F.min("pass_no").over(before))
+    scans = rows.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.when(F.col("dedupe") != "", line))).alias("l"), F.array_sort(F.collect_set("pass_no")).alias("p"), hopeful.alias("hopeful"))
+    scans = scans.where("hopeful").select("scan_id", "l", F.slice("p", least, F.greatest(F.size("p"), F.lit(1))).alias("p"))
+
+    def strong(upto: Column) -> Column:
+        seen = F.filter("l", lambda x: (x["pass_no"] <= upto) & (x["hider"].isNull() | (x["hider"] > upto)))
+        solid = F.filter(let(seen, _kept_apart), lambda k: k["solid"])
+        return let(solid, lambda k: _is_strong(F.size(k), F.aggregate(k, F.lit(0), lambda n, x: n + x["n_words"]), F.coalesce(F.array_max(F.transform(k, lambda x: x["n_letters"])), F.lit(0))))
+
+    none = F.lit(None).cast(lines.schema["pass_no"].dataType)
+    first = F.aggregate("p", none, lambda found, upto: F.when(found.isNotNull(), found).when(strong(upto), upto))
+    last = scans.select("scan_id", first.alias("last_pass")).where("last_pass is not null")
     return lines.join(last, "scan_id", "left").where(F.col("last_pass").isNull() | (F.col("pass_no") <= F.col("last_pass"))).drop("last_pass")

@@ -388,3 +388,28 @@ def test_a_whole_title_is_shown_where_it_was_read(spark):
     assert {r.scan_id: r.title for r in identify.identify(scans, evidence, queries, items).collect()} == {1: "Iron Harvest", 2: "Iron Harvest: A History of Fields"}
     cuts = spark.createDataFrame([("  Dune  ",), ("A: B",), ("Dune; x",), ("Dune — x",), ("Dune—x",), ("x",), ("",), (None,)], "t string").select(T.main_title(F.col("t")).alias("m"))
     assert [r.m for r in cuts.collect()] == ["Dune", "A: B", "Dune", "Dune", "Dune—x", "x", "", None]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_passes_are_folded_a_scan_at_a_time(spark, least):
+    """Against merging and judging the lines of every first so many passes; lines repeat across passes at other places and confidences."""
+    rng = np.random.default_rng(9)
+    texts = ["The Weight of Water", "the weight of water!", "Anita Shreve", "Iron Harvest Moon", "x", "--", "Silent Harbour Home"]
+    rows = []
+    for scan in range(60):
+        for n in range(int(rng.integers(1, 10))):
+            y = float(rng.integers(0, 4) * 40)
+            rows.append((scan, int(rng.integers(0, 4)), n, texts[int(rng.integers(0, len(texts)))], float(rng.integers(60, 100)), (0.0, y, 300.0, y + float(rng.integers(20, 60)))))
+    frame = spark.createDataFrame(rows, f"scan_id long, pass_no int, line_no int, text string, confidence double, bbox {L.BOX}").persist()
+    last = {}
+    for upto in range(4):
+        for r in L.strong_evidence(L.merge_lines(frame.where(F.col("pass_no") <= upto)), ["scan_id"]).where("strong").collect():
+            passes = sorted({p for s, p, *_ in rows if s == r.scan_id})
+            if upto in passes[least - 1 :]:
+                last.setdefault(r.scan_id, upto)
+    found = L.passes_until_strong(frame, least)
+    assert sorted((r.scan_id, r.pass_no, r.line_no) for r in found.collect()) == sorted((s, p, n) for s, p, n, *_ in rows if p <= last.get(s, 3))
+    assert 10 < len(last) < 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "pass-lines" not in plan
+    assert not any("dedupe" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)

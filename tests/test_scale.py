@@ -344,6 +344,37 @@ def test_a_small_index_is_counted_in_one_go(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, large.collect())) == _best(asked, titles, 5) and large.dtypes == small.dtypes
 
 
+@pytest.mark.parametrize("hits", [1, 40, 1 << 20])
+def test_no_row_is_made_for_a_word_or_a_pair_of_a_small_index(spark, tmp_path, monkeypatch, hits):
+    """Only the numbers of known words are dealt out; rows of one id count together, as in the query's SQL, and rows without an id are none."""
+    monkeypatch.setattr(catalogue, "HITS", hits)
+    titles = _titles(40, 6)
+    items = [*titles, (7, "everywhere word1 word2 word3", None, 1), (7, "everywhere", None, 1), (None, "everywhere word0", None, 1), (50, None, None, 1)]
+    index = catalogue.write_index(spark.createDataFrame(items, "doc_id long, title string, author_name array<string>, edition_count int"), f"{tmp_path}/index")
+    rng = np.random.default_rng(7)
+    asked = [(s // 2, 1 + s % 3, " ".join(rng.choice(["everywhere", "nothing", "the", *[f"word{i}" for i in range(40)]], int(rng.integers(0, 14))))) for s in range(60)]
+    asked += [(0, 1, "everywhere everywhere word1"), (0, 1, "word1 word2"), (91, 1, None), (92, 1, ""), (93, 1, "nothing")]
+    found = catalogue.search(spark.createDataFrame(asked, "scan_id long, query_no int, query string").repartition(3), index)
+
+    docs = [(i, [*t.split(), *(["ana", "stone"] if a else [])] if t else []) for i, t, a, _ in items if i is not None]
+    shared: Counter = Counter()
+    for scan, number, query in asked:
+        for word in set((query or "").split()) - set(T.STOPWORDS):
+            shared.update((scan, number, i) for i, ws in docs if word in ws)
+    wanted = []
+    for scan, number in {k[:2] for k in shared}:
+        best = sorted((-shared[scan, number, i], len(ws), i) for i, ws in docs if (scan, number, i) in shared)
+        wanted += [(scan, number, place, i, -n) for place, (n, _, i) in enumerate(best[:5], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "Window", "Join"))
+
+
+def test_an_empty_index_has_nothing(spark, tmp_path):
+    index = catalogue.write_index(spark.createDataFrame([], "doc_id long, title string, author_name array<string>, edition_count int"), f"{tmp_path}/index")
+    assert catalogue.search(spark.createDataFrame([(1, 1, "iron harvest")], "scan_id long, query_no int, query string"), index).collect() == []
+
+
 @pytest.mark.parametrize("block", [4, 64])
 def test_blocks_of_a_large_index_are_skipped(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(catalogue, "INDEX_ROWS", 0)

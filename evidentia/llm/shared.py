@@ -88,6 +88,14 @@ def salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that meets the other by shuffling both: never sent whole to every task.
+
+    Spark takes an exploded table for as large as the one that it was exploded from, and may broadcast what the driver can't hold.
+    """
+    return rows.hint("merge")
+
+
 def with_least(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """``rows`` with the least ``value`` of all rows of the same ``key`` as ``out``.
 
@@ -95,9 +103,9 @@ def with_least(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     that hold a row get a copy of the result. Rows without a key are left out.
     """
     cell, cells = free_name(rows, "_cell"), free_name(rows, "_cells")
-    dealt = rows.withColumn(cell, salt(value))
-    least = dealt.groupBy(key, cell).agg(F.min(value).alias(out)).groupBy(key).agg(F.min(out).alias(out), F.collect_list(cell).alias(cells))
-    return dealt.join(least.select(key, F.explode(cells).alias(cell), out), [key, cell]).drop(cell)
+    placed = rows.withColumn(cell, salt(value))
+    least = placed.groupBy(key, cell).agg(F.min(value).alias(out)).groupBy(key).agg(F.min(out).alias(out), F.collect_list(cell).alias(cells))
+    return placed.join(dealt(least.select(key, F.explode(cells).alias(cell), out)), [key, cell]).drop(cell)
 
 
 def word_count(text: Column) -> Column:
@@ -130,9 +138,9 @@ def joined_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
     if held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), keys)
     cell = free_name(rows, "_cell")
-    dealt = rows.withColumn(cell, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    placed = rows.withColumn(cell, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copied = table.withColumn(cell, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copied, [*keys, cell]).drop(cell)
+    return placed.join(dealt(copied), [*keys, cell]).drop(cell)
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from evidentia.llm.components import connected_components
-from evidentia.llm.shared import free_name, materialize, salt, small_batches, with_least
+from evidentia.llm.shared import dealt, free_name, materialize, salt, small_batches, with_least
 
 SEED = 42
 BITS = 64
@@ -90,7 +90,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
     homes = _anchored(fingerprints, near=False).withColumnRenamed("fp", "u")
     nearby = _anchored(fingerprints, near=True).withColumnRenamed("fp", "v")
     return (
-        homes.join(nearby, ["half", "anchor"])
+        dealt(homes).join(dealt(nearby), ["half", "anchor"])
         .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD))
         .select("u", "v")
         .distinct()
@@ -102,7 +102,7 @@ def _placed(prints: DataFrame) -> DataFrame:
     cells = prints.groupBy("fp", "cell").agg(F.min("id").alias("least"))
     nodes = materialize(cells.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("cell").alias("cells")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(dealt(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return materialize(placed, "simhash-roots")
 
 
@@ -116,9 +116,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
-    dealt = prints.withColumn("cell", salt("id"))
-    classes = with_least(_placed(dealt), "root", "least", "component_id").select("fp", F.explode("cells").alias("cell"), "component_id")
-    return dealt.join(classes, ["fp", "cell"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    celled = prints.withColumn("cell", salt("id"))
+    classes = with_least(_placed(celled), "root", "least", "component_id").select("fp", F.explode("cells").alias("cell"), "component_id")
+    return celled.join(dealt(classes), ["fp", "cell"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,11 +134,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the row's number is written beside the print: it is never computed again
     marked = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(print_, simhash(F.col(text_col)))
     marked = materialize(marked.withColumn(digest, F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))), "simhash-marked")
-    dealt = marked.select(F.col(id_col).alias("id"), F.col(print_).alias("fp"), F.col(digest).alias("digest"), F.col(row).alias("row")).withColumn("cell", salt("row"))
+    celled = marked.select(F.col(id_col).alias("id"), F.col(print_).alias("fp"), F.col(digest).alias("digest"), F.col(row).alias("row")).withColumn("cell", salt("row"))
     # one candidate per group: reduced in cells of a print first, so that copies are never gathered
     order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("fp").alias("fp"), F.col("digest").alias("digest"), F.col("row").alias("row"))
-    best = dealt.withColumn("best", order).groupBy("fp", "cell").agg(F.min("best").alias("best")).groupBy("fp").agg(F.min("best").alias("best"))
-    roots = _placed(dealt).select("fp", "root")
-    one = best.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = celled.withColumn("best", order).groupBy("fp", "cell").agg(F.min("best").alias("best")).groupBy("fp").agg(F.min("best").alias("best"))
+    roots = _placed(celled).select("fp", "root")
+    one = best.join(dealt(roots), "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = one.select(F.col("best.row").alias(row))
     return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
